@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+np.seterr(over="ignore")  # hashes wrap
+
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xBF58476D1CE4E5B9)
 M3 = np.uint64(0x94D049BB133111EB)

@@ -1,16 +1,19 @@
 """The queries of this subpackage and their DuckDB counterparts."""
 
-from . import langid, mixing, shards, topk
+from . import jaccard, langid, mixing, secrets, shards, topk, warc
 
 
 def queries():
     return {
+        "op3_warc": warc.query,
         "op4_mixing": mixing.query,
         "op6_ring_shards": shards.query,
+        "op7_secrets": secrets.query,
+        "op8_jaccard_join": jaccard.query,
         "op9_topk": topk.query,
         "op10_langid": langid.query,
     }
 
 
 def oracle_sql():
-    return {"op9_topk": topk.ORACLE}
+    return {"op3_warc": warc.ORACLE, "op9_topk": topk.ORACLE}
