@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 64        # words in a block
@@ -58,7 +58,22 @@ def permute(x: Column, n: Column, key: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Number of [^\\x20\\x09-\\x0D]+ in a text, 0 for null. Replacing whole strings is several times as fast as a regular expression that
+    makes an array of the words: white space becomes pairs of marks, and a run of pairs collapses into one."""
+    t = F.coalesce(text, F.lit(""))
+    for space in "\t\n\x0b\x0c\r":
+        t = F.replace(t, F.lit(space), F.lit(" "))
+    for mark in "\x01\x02":  # in the text, the marks are letters like others
+        t = F.replace(t, F.lit(mark), F.lit("x"))
+    t = F.replace(F.replace(t, F.lit(" "), F.lit("\x01\x02")), F.lit("\x02\x01"), F.lit(""))
+    return F.get(F.transform(F.array(t), _gaps), F.lit(0))  # so that t is computed once
+
+
+def _gaps(t: Column) -> Column:
+    # length less what the removal of gaps leaves counts the gaps; those at the ends separate nothing
+    gaps = (F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\x01"), F.lit("")))).cast("long")
+    inner = gaps + 1 - F.startswith(t, F.lit("\x01")).cast("long") - F.endswith(t, F.lit("\x02")).cast("long")
+    return F.when(F.octet_length(t) == 0, F.lit(0)).otherwise(inner).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -142,7 +157,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     d = pick(docs, {"doc_id": "long", "text": "string", "source": "string"})
-    d = d.select("doc_id", "source", words(F.col("text")).alias("size"))
+    d = written(d.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")  # texts are read once
     return mix(d).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
