@@ -1,10 +1,11 @@
 """The queries of this subpackage and their DuckDB counterparts."""
 
-from . import decontam, jaccard, langid, mixing, secrets, shards, topk, warc
+from . import decontam, jaccard, langid, mixing, secrets, shards, suffixes, topk, warc
 
 
 def queries():
     return {
+        "op1_suffix_dedup": suffixes.query,
         "op2_decontamination": decontam.query,
         "op3_warc": warc.query,
         "op4_mixing": mixing.query,
