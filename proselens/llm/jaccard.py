@@ -148,7 +148,7 @@ def bands_of(n: int) -> list[int]:
 # ---------------------------------------------------------------- passes over the texts
 
 def survey(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node, and levels: for each of the set's bands, the level it needs (band * 64 + level)."""
+    """doc_id, row, n_shingles, node, and levels: for each of the set's bands, the level it needs (band * 64 + level)."""
     def run(batches):
         for batch in slices(batches):
             n, node, levels = [], [], []
@@ -156,9 +156,9 @@ def survey(docs: DataFrame) -> DataFrame:
                 n.append(len(s))
                 node.append(set_hash(s) if len(s) else 0)
                 levels.append([b * 64 + short_of(s, b) for b in bands_of(len(s))] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(levels, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "node", "levels"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(levels, pa.list_(pa.int32()))], ["doc_id", "row", "n_shingles", "node", "levels"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, levels array<int>")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, levels array<int>")
 
 
 FLUSH = 4_000_000  # signatures kept before a task writes them out
@@ -319,13 +319,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows with null or wordless text have n_shingles 0 and are components of their own. Rows with equal sets are linked. A row with null doc_id
     takes part; component_id is the smallest non-null doc_id of its component, null if there is none. Extra columns are ignored."""
-    spark = docs.sparkSession
-    d = pick(docs, {"doc_id": "long", "text": "string"})
+    d = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("row", F.lit(0).cast("long"))
+    return components_of(d).select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component of docs, that with the smallest doc_id (null last); wordless rows stay. Of rows that are equal in all columns one stays."""
+    row = F.xxhash64(*docs.columns)
+    d = docs.withColumn("row", row)
+    kept = components_of(d.select("doc_id", "text", "row")).where("row = least.row").select("row").distinct()
+    return d.join(kept, "row").dropDuplicates(["row"]).select(*docs.columns)
+
+
+def components_of(d: DataFrame) -> DataFrame:
+    """d (doc_id, text, row) -> doc_id, row, n_shingles, least: the doc_id and row of the component's first member."""
+    spark = d.sparkSession
     a = written(survey(d), "sets")
     level: dict[int, int] = {}
     for r in a.select(F.explode("levels").alias("x")).groupBy(F.floor(F.col("x") / 64).cast("int").alias("band")).agg(F.max(F.col("x") % 64).alias("level")).collect():
         level[r["band"]] = r["level"]  # one row for each size band
-    nodes = written(a.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "nodes")
+    nodes = written(a.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(first()).alias("first"), F.max("n_shingles").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), math.ceil(total * 0.7 / PER_BUCKET))
     groups = written(matched(signed(d, level, buckets)), "groups")
@@ -350,11 +363,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         links = links.union(verified(d, nodes, more).where("linked").select("u", "v"))
         root = components(links)
-    label = nodes.join(root, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    least = label.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = label.join(least, "root").select("node", "component_id")
-    out = a.where("n_shingles > 0").join(of, "node").select("doc_id", "n_shingles", "component_id")
-    return out.union(a.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    label = nodes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    least = label.groupBy("root").agg(F.min("first").alias("least"))
+    of = label.join(least, "root").select("node", "least")
+    out = a.where("n_shingles > 0").join(of, "node").select("doc_id", "row", "n_shingles", "least")
+    return out.union(a.where("n_shingles = 0").select("doc_id", "row", "n_shingles", first().alias("least")))
+
+
+def first():
+    """Sorts rows by doc_id, null last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
 
 
 def in_reach(pairs: DataFrame, size: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, columns:
     sharp = directions(unit - mean)
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast((names, unit, mean, sharp))  # at most MAX_LANGS * DIM numbers
-    src = docs.select(*columns, "text")
+    src = docs.select(*columns, *([] if "text" in columns else ["text"]))
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType(src.select(*columns).schema.fields).add("lang_pred", StringType()).add("score", DoubleType())

@@ -161,5 +161,15 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     return mix(d).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, source and further columns), each row round(taken / size) times; rows without words go. Only small columns are mixed; texts
+    move once, to meet their counts. Rows that are equal in all columns are separate documents, whose counts add up."""
+    d = docs.withColumn("_id", F.xxhash64(*docs.columns))
+    small = written(d.select("doc_id", "source", words(F.col("text")).alias("size"), "_id"), "sizes")
+    times = mix(small).where("size > 0").groupBy("_id").agg(F.round(F.sum("taken") / F.max("size")).cast("int").alias("_times")).where("_times > 0")
+    once = d.join(times, "_id").dropDuplicates(["_id"])
+    return once.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def query(spark, sf_dir):
     return mix_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

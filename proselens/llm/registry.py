@@ -1,6 +1,8 @@
 """The queries of this subpackage and their DuckDB counterparts."""
 
-from . import decontam, jaccard, langid, mixing, secrets, shards, suffixes, topk, warc
+import corpus_pipeline
+
+from . import decontam, jaccard, langid, lm, mixing, secrets, shards, suffixes, topk, warc
 
 
 def queries():
@@ -9,11 +11,13 @@ def queries():
         "op2_decontamination": decontam.query,
         "op3_warc": warc.query,
         "op4_mixing": mixing.query,
+        "op5_lm_scores": lm.query,
         "op6_ring_shards": shards.query,
         "op7_secrets": secrets.query,
         "op8_jaccard_join": jaccard.query,
         "op9_topk": topk.query,
         "op10_langid": langid.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
