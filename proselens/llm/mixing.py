@@ -132,13 +132,19 @@ def draw(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
 def slots(spark, t: DataFrame, n: int, block: int, shard: int) -> DataFrame:
     """Every slot of the mix: slot, out_shard, ord (source), block index."""
     s = spark.range(n).withColumnRenamed("id", "slot").withColumn("out_shard", F.floor(F.col("slot") / shard))
-    s = s.withColumn("at", permute(F.col("slot"), F.lit(n).cast("long"), F.lit(n % P).cast("long")))
-    edges = t.where("slots > 0").agg(F.sort_array(F.collect_list(F.struct(F.col("from_slot").cast("long").alias("lo"), "ord", "blocks"))).alias("edges"))
+    edges = t.where("slots > 0").agg(F.sort_array(F.collect_list(F.struct(F.col("from_slot").cast("long").alias("lo"), F.col("ord").cast("long").alias("ord"), "blocks"))).alias("edges"))
     s = s.crossJoin(F.broadcast(edges))  # one row: the sources' shares of the slots
-    s = s.withColumn("e", F.element_at(F.filter("edges", lambda e: e["lo"] <= F.col("at")), -1)).drop("edges")
-    j = F.col("at") - F.col("e.lo")
-    epoch = F.floor(j / F.col("e.blocks"))
-    return s.select("slot", "out_shard", F.col("e.ord").alias("ord"), permute(j % F.col("e.blocks"), F.col("e.blocks"), (F.col("e.ord") * 8 + epoch + 1).cast("long")).alias("block"))
+
+    def once(value: Column, use) -> Column:
+        """use(value), with value computed once: a column that is merely named would be computed wherever it is used."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def of(at: Column) -> Column:
+        mine = F.element_at(F.filter("edges", lambda e: e["lo"] <= at), -1)
+        return once(mine, lambda e: F.struct(e["ord"].cast("int").alias("ord"), permute((at - e["lo"]) % e["blocks"], e["blocks"], e["ord"] * 8 + F.floor((at - e["lo"]) / e["blocks"]) + 1).alias("block")))
+
+    at = permute(F.col("slot"), F.lit(n).cast("long"), F.lit(n % P).cast("long"))
+    return s.select("slot", "out_shard", once(at, of).alias("x")).select("slot", "out_shard", "x.ord", "x.block")
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
