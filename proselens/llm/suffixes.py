@@ -33,9 +33,9 @@ WINDOW = 400
 CORE = 200
 SEED = 16              # bytes hashed to choose anchors
 HOT = 20_000           # different blocks of one core that a bucket sorts
-PIECE = 2 << 20        # bytes of text handled at a time
+PIECE = 1 << 19        # bytes of text handled at a time
 CHUNK = 4096           # blocks sorted at a time, about
-PER_BUCKET = 2_000_000
+PER_BUCKET = 500_000   # blocks of hashes in a bucket, about
 
 
 # ---------------------------------------------------------------- anchors
@@ -141,7 +141,7 @@ def anchored(docs: DataFrame, buckets: int) -> DataFrame:
                     if fresh[i] and edge[i] < edge[i + 1]:
                         held.append((arr[edge[i] : edge[i + 1]], keys[i], int(off[i + 1] - off[i])))
                         size += edge[i + 1] - edge[i]
-                if size > 1_000_000:
+                if size > 500_000:
                     yield flush()
                     held, size = [], 0
         if held:
