@@ -136,7 +136,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, limit: int = 8 << 20, column: str = "text"):
+def slices(batches, limit: int = 1 << 20, column: str = "text"):
     """Record batches cut so that each holds about limit bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:

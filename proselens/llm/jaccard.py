@@ -161,7 +161,7 @@ def survey(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, levels array<int>")
 
 
-FLUSH = 4_000_000  # signatures kept before a task writes them out
+FLUSH = 1_500_000  # signatures kept before a task writes them out
 
 
 def signed(docs: DataFrame, level: dict[int, int], buckets: int) -> DataFrame:
