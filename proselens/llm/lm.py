@@ -28,7 +28,7 @@ ROUNDS = 4
 STEP_ROWS = 1024
 LEAST_STEPS = 200
 RATE = 0.01
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 FIXED = {"\n": 1, " ": 2, ".": 3, ",": 4, "'": 5, '"': 6, "-": 7, ":": 8, ";": 9, "!": 10, "?": 11, "(": 12, ")": 13}
 DIGIT, OTHER, LATIN, FURTHER = 14, 15, 16, 42  # a-z: 16 to 41; further letters share the rest
@@ -139,16 +139,21 @@ def counts(docs: DataFrame, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(b[cut].astype(np.int32)), pa.array([key[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary()), pa.array([n[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())], ["bucket", "keys", "times"])
 
     def run(batches):
-        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, times, size = [], [], 0
         for batch in slices(batches, PIECE):
             _, k, _ = contexts(batch)
             k, c = np.unique(k, return_counts=True)
-            key, n = merged([key, k], [n, c])
-            if len(key) > 4_000_000:
-                yield packed(key, n)
-                key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(key):
-            yield packed(key, n)
+            keys.append(k)
+            times.append(c)
+            size += len(k)
+            if size > 1_500_000:
+                k, c = merged(keys, times)
+                keys, times, size = [k], [c], len(k)
+                if size > 1_000_000:
+                    yield packed(k, c)
+                    keys, times, size = [], [], 0
+        if size:
+            yield packed(*merged(keys, times))
 
     def add(key, pdf):
         k, n = merged([np.frombuffer(x, np.int64) for x in pdf["keys"]], [np.frombuffer(x, np.int64) for x in pdf["times"]])
