@@ -14,6 +14,7 @@ np.seterr(over="ignore")  # hashes wrap
 M1 = np.uint64(0x9E3779B97F4A7C15)
 M2 = np.uint64(0xBF58476D1CE4E5B9)
 M3 = np.uint64(0x94D049BB133111EB)
+ARROW_BATCH = "4m"
 BASE = 0xD6E8FEB86659FD93
 BASE2 = 0xA0761D6478BD642F
 
@@ -191,7 +192,10 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def pick(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Only the columns named, cast; a column that is missing is null. Extra columns go."""
+    """Only the columns named, cast; a column that is missing is null. Extra columns go.
+
+    Every operator begins here, so this also bounds the Arrow batches that its tasks exchange with Python."""
     from pyspark.sql import functions as F
 
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
