@@ -1,9 +1,225 @@
 """The named queries of the prose engine and their DuckDB counterparts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from proselens.functions.text import sentences, word_count
+from proselens.operators import config, normalize, phrases, report, structure, study, verdicts
+
+from . import inputs, oracle
+
+SHIPPED = config.SHIPPED
+TEAM = SHIPPED | inputs.TEAM
+FINDING = ("doc_id", "line", "col", "severity", "rule", "match", "phrase_ord")
+
+
+def longs(df: DataFrame) -> DataFrame:
+    """Whole numbers as long, so that types do not depend on the engine."""
+    return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
+
+
+def lint(cfg: dict):
+    return lambda spark, sf: longs(phrases.findings(inputs.seeded(spark, sf), cfg).select(*FINDING))
+
+
+RULE_SETS = {
+    "findings_dash": inputs.shipped("no_dashes"),
+    "findings_banned": inputs.shipped("banned_phrases"),
+    "findings_bait": inputs.shipped("engagement_bait"),
+    "findings_soft": inputs.shipped("soft_phrases"),
+    "findings_filler": inputs.shipped("filler_words"),
+    "overuse": inputs.shipped("watch_words"),
+    "load_bearing": inputs.shipped("load_bearing_literal_only"),
+    "loaded_adverb": inputs.only(flag_loaded_quietly=True),
+    "source_domains": inputs.only(aggregator_domains=inputs.TEAM["aggregator_domains"]),
+    "dash_density": inputs.only(dash_density_cap=1.0),
+    "soft_dedupe": inputs.shipped("banned_phrases", "soft_phrases"),
+    "findings_all": SHIPPED,
+    "findings_team": TEAM,
+}
+
+
+def report_by_doc(spark, sf):
+    return report.by_document(phrases.checked(inputs.seeded(spark, sf), SHIPPED))
+
+
+def exit_status(spark, sf):
+    total = report.totals(report_by_doc(spark, sf))
+    return total.crossJoin(longs(report.exit_status(total)))
+
+
+def suppressed_counts(spark, sf):
+    return report_by_doc(spark, sf).where("suppressed > 0").select("doc_id", "suppressed")
+
+
+def _grouped(by: str):
+    return lambda spark, sf: phrases.findings(inputs.seeded(spark, sf), SHIPPED, keys=("doc_id", by)).groupBy(by, "rule").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("doc_id").alias("documents"))
+
+
+def findings_by_role(spark, sf):
+    c = spark.read.parquet(f"{sf}/conversations.parquet").select("role", F.coalesce("text", F.lit("")).alias("text"))
+    cfg = inputs.only(filler_words=["the", "of", "la", "der"], watch_words={"and": 3, "de": 3})
+    return phrases.findings(c, cfg, keys=("role",)).groupBy("role", "rule", "phrase_ord").agg(F.count(F.lit(1)).alias("findings")).withColumn("phrase_ord", F.col("phrase_ord").cast("long"))
+
+
+def html_visible_text(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    return p.select("page_id", normalize.strip_html(F.coalesce("html", F.lit(""))).alias("text"))
+
+
+def prepared_text(spark, sf):
+    return inputs.seeded(spark, sf).select("doc_id", normalize.prepared(F.col("text")).alias("text"))
+
+
+def words_by_doc(spark, sf):
+    return inputs.seeded(spark, sf).select("doc_id", word_count(normalize.prepared(F.col("text"))).cast("long").alias("words"))
+
+
+def paragraphs(spark, sf):
+    d = structure.parsed(inputs.seeded(spark, sf)).select("doc_id", F.explode("paragraphs").alias("p"))
+    return longs(d.select("doc_id", F.col("p.start").alias("start_line"), "p.body"))
+
+
+def sentences_query(spark, sf):
+    d = structure.parsed(inputs.seeded(spark, sf)).select("doc_id", F.explode("paragraphs").alias("p"))
+    return longs(d.select("doc_id", F.col("p.start").alias("start_line"), F.posexplode(sentences(F.col("p.body"))).alias("place", "sentence")))
+
+
+def structural(rule: str | None):
+    def run(spark, sf):
+        d = longs(structure.findings(inputs.seeded(spark, sf)).select("doc_id", "line", "rule", "excerpt"))
+        return d if rule is None else d.where(F.col("rule") == rule)
+
+    return run
+
+
+def _signals(spark, sf):
+    """doc_id, words, flagged, clusters of every document."""
+    d = phrases.checked(inputs.seeded(spark, sf), SHIPPED)
+    d = d.select("doc_id", "text", word_count(normalize.prepared(F.col("text"))).cast("long").alias("words"), F.size("findings").cast("long").alias("flagged"))
+    return structure.parsed(d).select("doc_id", "words", "flagged", verdicts.clusters(F.col("paragraphs")).cast("long").alias("clusters"))
+
+
+def density_signal(spark, sf):
+    d = phrases.checked(inputs.seeded(spark, sf), SHIPPED).select("doc_id", word_count(normalize.prepared(F.col("text"))).cast("long").alias("words"), F.size("findings").cast("long").alias("flagged"))
+    return d.withColumn("density", verdicts.density(F.col("flagged"), F.col("words")))
+
+
+def clusters(spark, sf):
+    d = structure.parsed(inputs.seeded(spark, sf)).select("doc_id", verdicts.clusters(F.col("paragraphs")).cast("long").alias("clusters"))
+    return d.where("clusters > 0")
+
+
+def scores():
+    """Scores from 2 to 5 derived from doc_id, 5 more often."""
+    return [F.least(F.lit(5), F.lit(2) + F.col("doc_id") * (2 * k + 3) % 11).cast("int").alias(f"d{k}") for k in range(1, 8)]
+
+
+def verdict(spark, sf):
+    d = _signals(spark, sf).select("*", *scores(), (F.col("doc_id") % 29 == 0).alias("missing_markers"))
+    return verdicts.verdict(d).select("doc_id", "verdict", "driver")
+
+
+def density_vs_label(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    return longs(report_by_doc(spark, sf).join(labels, "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("documents"), F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings")))
+
+
+def items(spark, sf):
+    return study.plan(inputs.writers(spark, sf), inputs.RUN, inputs.BRIEF, anchor=True)
+
+
+def study_plan(spark, sf):
+    return items(spark, sf).select("blind_id", "target", "condition", "profile", "source")
+
+
+def study_sheet(spark, sf):
+    return study.sheet(items(spark, sf)).select("blind_id", "writer", "candidate")
+
+
+def _study(f):
+    def run(spark, sf):
+        i = items(spark, sf)
+        return f(i, inputs.ratings(spark, sf, i))
+
+    return run
+
+
+def profile_gates(spark, sf):
+    d = inputs.documents(spark, sf).select(F.col("source").alias("writer"), word_count(F.col("raw")).cast("long").alias("words"), (F.col("doc_id") % 10 == 0).alias("holdout"), "lang")
+    return longs(verdicts.profile_gate(d, registers="lang")).select("writer", "samples", "sample_words", "holdouts", "need", "ready")
+
+
+def length_gate(spark, sf):
+    d = inputs.documents(spark, sf).select("doc_id", word_count(F.col("raw")).cast("long").alias("before"), word_count(F.regexp_replace("raw", r"\.\n", " and so on. ")).cast("long").alias("after"))
+    return d.withColumn("in_range", verdicts.length_gate(F.col("before"), F.col("after")))
+
+
+def word_ratio_drift(spark, sf):
+    d = inputs.documents(spark, sf).select((F.col("doc_id") % 4).alias("period"), word_count(F.col("raw")).cast("long").alias("words"), F.regexp_count("raw", F.lit(r"(?i)\bthe\b")).cast("long").alias("hits"))
+    return d.groupBy("period").agg(F.sum("words").alias("words"), F.sum("hits").alias("hits")).withColumn("per_mille", F.round(F.col("hits") * 1000.0 / F.col("words"), 6))
+
 
 def queries():
-    return {}
+    return {name: lint(cfg) for name, cfg in RULE_SETS.items()} | {
+        "report_by_doc": report_by_doc, "exit_status": exit_status, "suppressed_counts": suppressed_counts,
+        "findings_by_lang": _grouped("lang"), "findings_by_source": _grouped("source"), "findings_by_role": findings_by_role, "density_vs_label": density_vs_label,
+        "html_visible_text": html_visible_text, "prepared_text": prepared_text, "words_by_doc": words_by_doc,
+        "paragraphs": paragraphs, "sentences": sentences_query, "headers": structural("header"), "two_beat": structural("two-beat"), "aphorism": structural("aphorism"), "staccato": structural("staccato"),
+        "struct_density": structural("density"), "struct_findings": structural(None),
+        "density_signal": density_signal, "clusters": clusters, "verdict": verdict, "profile_gates": profile_gates, "length_gate": length_gate, "word_ratio_drift": word_ratio_drift,
+        "study_plan": study_plan, "study_sheet": study_sheet, "study_means": _study(study.means), "study_lift": _study(lambda i, r: study.lift(study.means(i, r))),
+        "study_pooled": _study(lambda i, r: study.pooled(study.lift(study.means(i, r)))), "study_flags": _study(study.flags), "study_choice": _study(study.forced_choice),
+    }
 
 
 def oracle_sql():
-    return {}
+    o, found = oracle, oracle.found(SHIPPED)
+    per_doc = f"with {found}, docs as (select doc_id from norm) select d.doc_id, count(*) filter (severity = 'error' and not gone) errors, count(*) filter (severity = 'warning' and not gone) warnings, count(*) filter (gone) suppressed from docs d left join kept k using (doc_id) group by d.doc_id"
+    grouped = lambda by: f"with {found} select {by}, rule, count(*) findings, count(distinct doc_id) documents from kept join norm using (doc_id) where not gone group by {by}, rule"
+    words = f"len(regexp_extract_all(t, '{o.W}+'))"
+    dense = "words >= 150 and flagged >= 3 and flagged * 100.0 / words > 2.0"
+    signals = f"sg as (select doc_id, {words} words, (select count(*) from kept k where k.doc_id = norm.doc_id and not gone) flagged from norm)"
+    d = {k: f"least(5, 2 + doc_id * {2 * k + 3} % 11)" for k in range(1, 8)}
+    voice = [d[k] for k in (1, 2, 3, 4, 6, 7)]
+    low, three = " + ".join(f"cast({v} <= 2 as int)" for v in voice), " + ".join(f"cast({v} = 3 as int)" for v in voice)
+    branches = ((f"({low}) >= 2", "REWRITE", "two-low-dimensions"), (f"({dense}) and clusters >= 2", "REWRITE", "density-and-clusters"), (f"({low}) = 1", "REVISE", "low-dimension"), (f"({three}) >= 1", "REVISE", "dimension-at-3"),
+                (dense, "REVISE", "density"), ("clusters >= 1", "REVISE", "cluster"), ("flagged >= 3", "REVISE", "hits"), ("doc_id % 29 = 0", "REVISE", "missing-markers"), (f"{d[5]} >= 4", "PASS", "clean"))
+    case = lambda k, other: "case " + " ".join(f"when {b[0]} then '{b[k]}'" for b in branches) + f" else '{other}' end"
+    role = o.phrases(inputs.only(filler_words=["the", "of", "la", "der"], watch_words={"and": 3, "de": 3}))
+    conv = o.hits(inputs.only(filler_words=["the", "of", "la", "der"], watch_words={"and": 3, "de": 3})).replace(o.prepared(), "norm as (select row_number() over () doc_id, role, coalesce(text, '') t from conversations)")
+    assert role
+    blocks, tags = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", r"(?s)<[^>]+>"
+    raw = f"len(regexp_extract_all(coalesce(text, ''), '{o.W}+'))"
+    sql = {name: o.findings(cfg) for name, cfg in RULE_SETS.items()} | {
+        "report_by_doc": per_doc,
+        "exit_status": f"select count(*) documents, cast(sum(errors) as bigint) errors, cast(sum(warnings) as bigint) warnings, cast(sum(suppressed) as bigint) suppressed, cast(sum(errors) > 0 as bigint) status from ({per_doc})",
+        "suppressed_counts": f"select doc_id, suppressed from ({per_doc}) where suppressed > 0",
+        "findings_by_lang": grouped("lang"), "findings_by_source": grouped("source"),
+        "findings_by_role": f"with {conv} select role, rule, cast(phrase_ord as bigint) phrase_ord, count(*) findings from hits join norm using (doc_id) group by all",
+        "density_vs_label": f"select cast(quality as bigint) quality, count(*) documents, cast(sum(errors) as bigint) errors, cast(sum(warnings) as bigint) warnings from ({per_doc}) join labels using (doc_id) group by quality",
+        "html_visible_text": f"with a as (select page_id, {o.mask('html', blocks)} h from pages), b as (select page_id, {o.mask('h', tags)} h from a) select page_id, replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&') text from b",
+        "prepared_text": f"with {o.prepared()} select doc_id, t as text from norm",
+        "words_by_doc": f"with {o.prepared()} select doc_id, {words} words from norm",
+        "paragraphs": f"with {o.paragraphs()} select doc_id, cast(start_line as bigint) start_line, body from paras",
+        "sentences": f"with {o.sentences()} select doc_id, cast(start_line as bigint) start_line, cast(unnest(range(len(sents))) as bigint) place, unnest(sents) sentence from sp",
+        "headers": o.by_rule("header"), "two_beat": o.by_rule("two-beat"), "aphorism": o.by_rule("aphorism"), "staccato": o.by_rule("staccato"),
+        "struct_density": f"with {o.density()} select doc_id, cast(line as bigint) line, rule, excerpt from dn",
+        "struct_findings": f"with {o.density()} select doc_id, cast(line as bigint) line, rule, excerpt from sf union all select doc_id, cast(line as bigint), rule, excerpt from dn",
+        "density_signal": f"with {found}, {signals} select *, {dense} density from sg",
+        "clusters": f"with {o.cluster_counts()} select doc_id, clusters from ck where clusters > 0",
+        "verdict": f"with {found}, {signals}, {o.cluster_counts().replace(o.seeded() + ', ', '')}, al as (select sg.*, coalesce(clusters, 0) clusters from sg left join ck using (doc_id)) select doc_id, {case(1, 'REVISE')} verdict, {case(2, 'd5-gap')} driver from al",
+        "profile_gates": f"select *, samples >= need and sample_words >= 1500 and holdouts >= 1 ready from (select source writer, count(*) filter (doc_id % 10 <> 0) samples, cast(sum(case when doc_id % 10 <> 0 then {raw} else 0 end) as bigint) sample_words, count(*) filter (doc_id % 10 = 0) holdouts, cast(case when count(distinct lang) > 1 then 5 else 4 end as bigint) need from documents group by source)",
+        "length_gate": f"select *, abs(after - before) * 10 <= before in_range from (select doc_id, {raw} before, len(regexp_extract_all(regexp_replace(coalesce(text, ''), '\\.\\n', ' and so on. ', 'g'), '{o.W}+')) after from documents)",
+        "word_ratio_drift": f"select *, round(hits * 1000.0 / words, 6) per_mille from (select doc_id % 4 period, cast(sum({raw}) as bigint) words, cast(sum(len(regexp_extract_all(coalesce(text, ''), '(?i)\\bthe\\b'))) as bigint) hits from documents group by 1)",
+        "study_plan": f"with {o.items()} select blind_id, target, condition, profile, source from items",
+        "study_sheet": f"with {o.items()} select blind_id, target writer, chr(96 + cast(row_number() over (partition by target order by sha1('1-sheet|' || blind_id), blind_id) as int)) candidate from items",
+        "study_means": f"with {o.study_means()} select * from mn",
+        "study_lift": f"with {o.study_means()} select * from lf",
+        "study_pooled": f"with {o.study_means()} select avg(lift) mean_lift, min(lift) min_lift, max(lift) max_lift, count(lift) writers from lf where lift is not null",
+        "study_flags": f"with {o.rated()} select count(*) filter (flag = 'F') flagged from ri",
+        "study_choice": f"with {o.rated()} select *, hits * 100.0 / total percent from (select count(*) filter (condition = 'correct') hits, count(*) total from rt left join (select blind_id, condition from items) i using (blind_id) where pick)",
+    }
+    return sql
