@@ -11,7 +11,8 @@ so the join is exact.
 
 Signatures travel packed in arrays by bucket. Sets that are equal are one node. Within a signature's group, only a star around
 the smallest node is emitted, never all pairs; stars are verified on the texts. Only where a member failed
-against its centre are the group's pairs that lie in different components tested as well.
+against its centre are pairs of the centre's members in different components tested as well: parity bits of the sets
+rule out nearly all that cannot be similar, and what they leave is verified, nearest first.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ WORDS = 5
 NUM, DEN = 4, 5            # similarity >= NUM / DEN
 PER_BUCKET = 2_000_000     # signatures in a bucket, about
 SIGMA = 5.0
+PARITY_LOG = 11
+PARITY = 1 << PARITY_LOG
 BLOOM_BITS = 1 << 26       # fixed size of the filter of texts to fetch (8 MB); a full filter only costs time
 
 
@@ -58,6 +61,13 @@ def set_hash(s: np.ndarray) -> int:
     return int(mix(np.add.reduce(mix(s ^ M1), dtype=np.uint64).reshape(1) + np.uint64(len(s)) * M1)[0].astype(np.int64))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """PARITY bits, each the parity of the elements that hash to it. Where two sets' bits differ, the sets differ by an element at
+    least, so the number of different bits is a lower bound of their difference."""
+    at = (mix(s) >> np.uint64(64 - PARITY_LOG)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
 # ---------------------------------------------------------------- bands and allocation
 
 @lru_cache(None)
@@ -148,17 +158,23 @@ def bands_of(n: int) -> list[int]:
 # ---------------------------------------------------------------- passes over the texts
 
 def survey(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_shingles, node, and levels: for each of the set's bands, the level it needs (band * 64 + level)."""
+    """doc_id, row, n_shingles, node, parity bits, and levels: for each of the set's bands, the level it needs (band * 64 + level).
+
+    Within a task only the first row of a node carries bits."""
     def run(batches):
+        seen: set[int] = set()
         for batch in slices(batches):
-            n, node, levels = [], [], []
+            n, node, levels, bits = [], [], [], []
             for s in sets(batch):
                 n.append(len(s))
                 node.append(set_hash(s) if len(s) else 0)
-                levels.append([b * 64 + short_of(s, b) for b in bands_of(len(s))] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(levels, pa.list_(pa.int32()))], ["doc_id", "row", "n_shingles", "node", "levels"])
+                fresh = len(s) and node[-1] not in seen
+                seen.add(node[-1])
+                levels.append([b * 64 + short_of(s, b) for b in bands_of(len(s))] if fresh else [])
+                bits.append(parity(s) if fresh else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(levels, pa.list_(pa.int32()))], ["doc_id", "row", "n_shingles", "node", "bits", "levels"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, levels array<int>")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, bits binary, levels array<int>")
 
 
 FLUSH = 1_500_000  # signatures kept before a task writes them out
@@ -204,7 +220,7 @@ def signed(docs: DataFrame, level: dict[int, int], buckets: int) -> DataFrame:
 
 
 def matched(packed: DataFrame) -> DataFrame:
-    """One row for each group of nodes that share a signature (each list of nodes once a bucket): members (sorted), the first being the centre."""
+    """(u, v): for each group of nodes that share a signature, its smallest node u with each other one v; each pair once a bucket."""
     def run(key, pdf):
         sig = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["sigs"]])
         node = np.concatenate([np.repeat(np.frombuffer(a, np.int64), np.frombuffer(r, np.uint32)) for a, r in zip(pdf["nodes"], pdf["runs"])])
@@ -217,16 +233,49 @@ def matched(packed: DataFrame) -> DataFrame:
         sig, node = sig[twice], node[order[twice]]
         order = np.lexsort((node, sig))
         sig, node = sig[order], node[order]
-        fresh = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])] if len(sig) else np.zeros(0, bool)
-        sig, node = sig[fresh], node[fresh]
-        cut = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, int)
-        out = set()
-        for a, b in zip(cut, np.r_[cut[1:], len(sig)]):
-            if b - a > 1:
-                out.add(node[a:b].tobytes())
-        return pd.DataFrame({"members": [np.frombuffer(x, np.int64) for x in out]})
+        first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
+        u = node[first][np.cumsum(first) - 1] if len(sig) else node
+        pairs = np.unique(np.stack([u, node], 1)[u != node], axis=0) if len(sig) else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    return packed.groupBy("bucket").applyInPandas(run, "u long, v long")
+
+
+def differing(bits: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits ^ row).sum(-1, dtype=np.int64)
 
-    return packed.groupBy("bucket").applyInPandas(run, "members array<long>")
+
+def apart(star: DataFrame, checked: DataFrame, root: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
+    """Pairs (u, v) of nodes in different components that share a centre, and which sizes and parity bits leave possible: all, or the nearest of each node.
+
+    All members of a centre hold at least the pairs that share a signature with it as their group's centre. Only members outside
+    the largest component are compared, with all others; nothing but possible pairs is emitted."""
+    failed = star.join(checked.where("linked"), ["u", "v"], "left_anti").select("u").distinct()
+    near = star.join(failed, "u")
+    m = near.select(F.col("u").alias("g"), F.col("v").alias("node")).union(failed.select("u", "u"))
+    m = m.join(root, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root"))
+    # a centre with one member is tested already
+    mixed = m.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c")).where("a <> b and c > 2").select("g")
+    m = m.join(mixed, "g").join(nodes.select("node", "n", "bits"), "node")
+
+    def run(key, pdf):
+        node, n = pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        _, comp = np.unique(pdf["root"].to_numpy(np.int64), return_inverse=True)
+        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(node), -1)
+        small = np.flatnonzero(comp != np.bincount(comp).argmax())
+        out = []
+        for i in small:
+            at = np.flatnonzero((comp != comp[i]) & (NUM * np.maximum(n, n[i]) <= DEN * np.minimum(n, n[i])) & (every | (node != key[0])))
+            if not len(at):
+                continue
+            slack = (DEN - NUM) * (n[at] + n[i]) - (DEN + NUM) * differing(bits[at], bits[i])
+            at, slack = at[slack >= 0], slack[slack >= 0]
+            if len(at):
+                out.append(np.stack([np.full(len(at), node[i]), node[at]], 1) if every else np.array([[node[i], node[at[slack.argmax()]]]]))
+        p = np.sort(np.concatenate(out), 1) if out else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"u": p[:, 0], "v": p[:, 1]})
+
+    return m.groupBy("g").applyInPandas(run, "u long, v long").distinct()
 
 
 # ---------------------------------------------------------------- verification
@@ -338,31 +387,19 @@ def components_of(d: DataFrame) -> DataFrame:
     level: dict[int, int] = {}
     for r in a.select(F.explode("levels").alias("x")).groupBy(F.floor(F.col("x") / 64).cast("int").alias("band")).agg(F.max(F.col("x") % 64).alias("level")).collect():
         level[r["band"]] = r["level"]  # one row for each size band
-    nodes = written(a.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(first()).alias("first"), F.max("n_shingles").alias("n")), "nodes")
+    nodes = written(a.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(first()).alias("first"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), math.ceil(total * 0.7 / PER_BUCKET))
-    groups = written(matched(signed(d, level, buckets)), "groups")
-    size = nodes.select("node", "n")
-    star = groups.select(F.element_at("members", 1).alias("u"), F.explode(F.slice("members", 2, F.size("members"))).alias("v")).distinct()
-    checked = written(verified(d, nodes, in_reach(star, size)), "links")
-    links = checked.where("linked").select("u", "v")
-    root = components(links)
-    # groups with a member that failed against the centre: pairs that are still apart
-    failed = star.join(checked.where("linked"), ["u", "v"], "left_anti")
-    doubtful = groups.where("size(members) > 2").withColumn("u", F.element_at("members", 1)).join(failed.select("u").distinct(), "u", "left_semi").select("members").distinct()
-    member = (doubtful.withColumn("g", F.xxhash64("members")).select("g", F.explode("members").alias("node"))
-              .join(root, "node", "left").select("g", "node", F.coalesce("root", "node").alias("root")).join(size, "node"))
-    member = written(member, "members")
-    apart = member.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g")
-    m = member.join(apart, "g")
-    more = (m.select("g", F.col("node").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"))
-            .join(m.select("g", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv")), "g")
-            .where("ru <> rv and u < v").where(f"{NUM} * greatest(nu, nv) <= {DEN} * least(nu, nv)").select("u", "v").distinct()
-            .join(checked, ["u", "v"], "left_anti"))
-    more = written(more, "more")
-    if not more.isEmpty():
-        links = links.union(verified(d, nodes, more).where("linked").select("u", "v"))
-        root = components(links)
+    star = written(matched(signed(d, level, buckets)).distinct(), "stars")
+    checked = written(verified(d, nodes, in_reach(star, nodes)), "links")
+    root = components(checked.where("linked").select("u", "v"))
+    # where a member failed against its centre: pairs of the centre's members that are still apart. First each node's nearest, then the rest
+    for every in (False, True):
+        more = written(apart(star, checked, root, nodes, every).join(checked, ["u", "v"], "left_anti"), "apart")
+        if more.isEmpty():
+            break
+        checked = checked.union(written(verified(d, nodes, more), "links"))
+        root = components(checked.where("linked").select("u", "v"))
     label = nodes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = label.groupBy("root").agg(F.min("first").alias("least"))
     of = label.join(least, "root").select("node", "least")
@@ -375,10 +412,18 @@ def first():
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
 
 
-def in_reach(pairs: DataFrame, size: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    p = pairs.join(size.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(size.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
-    return p.where(f"{NUM} * greatest(nu, nv) <= {DEN} * least(nu, nv)").select("u", "v")
+def in_reach(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs whose sizes and parity bits leave the similarity possible."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"))
+    p = pairs.join(side("u"), "u").join(side("v"), "v").where(f"{NUM} * greatest(nu, nv) <= {DEN} * least(nu, nv)")
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bu", "bv"))
+            n = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
+            yield batch.select(["u", "v"]).filter(pa.array((DEN - NUM) * n >= (DEN + NUM) * differing(a, b)))
+
+    return p.mapInArrow(run, "u long, v long")
 
 
 def query(spark, sf_dir):
