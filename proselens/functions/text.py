@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x{1c}-\x{1f}]"
@@ -97,6 +98,6 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda s: (F.length(s) > 1) & ~F.endswith(s, F.lit(":")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # an object, as no session need be there yet
 def decode_entities(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
