@@ -9,7 +9,7 @@ import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -83,7 +83,30 @@ def word_count(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case, with the two letters that only case-insensitive matching equates with s and i; for substring tests only, as lengths may change."""
-    return F.translate(F.lower(text), "ſı", "si")
+    return F.replace(F.replace(F.lower(text), F.lit("ſ"), F.lit("s")), F.lit("ı"), F.lit("i"))
+
+
+def any_of(literals) -> str:
+    """A pattern for any of the literals as a tree of their common beginnings, so that a position of the text costs one step where none begins."""
+    tree: dict = {}
+    for literal in literals:
+        at = tree
+        for c in literal:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def written(node: dict) -> str:
+        if "" in node:  # a shorter literal makes the longer ones idle
+            return ""
+        parts = [quote(c) + written(below) for c, below in sorted(node.items())]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return written(tree)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df behind a barrier: what is computed below is computed once a row, instead of being copied by the optimizer into every use above."""
+    return df.withColumn("_r", F.rand(0)).where("_r >= 0").drop("_r")
 
 
 def lines(text: Column) -> Column:

@@ -28,7 +28,9 @@ def visible(text: Column, path: Column | None = None, as_html=False) -> Column:
 
 
 def fold_quotes(text: Column) -> Column:
-    return F.translate(text, "‘’“”", "''\"\"")
+    for curly, straight in zip("‘’“”", "''\"\""):
+        text = F.replace(text, F.lit(curly), F.lit(straight))
+    return text
 
 
 def mask_code(text: Column) -> Column:

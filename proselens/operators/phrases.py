@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselens.functions.text import GUARD, SPACE, WORD, bounded, column_of, folded, line_of, no_spans, quote, spans, strip, word_count
+from proselens.functions.text import GUARD, SPACE, WORD, any_of, bounded, column_of, folded, line_of, no_spans, quote, settled, spans, strip, word_count
 
 from .config import PHYSICAL_NOUNS
 from .normalize import prepared
@@ -84,7 +84,7 @@ def phrase_hits(text: Column, cfg: dict) -> Column:
         near = F.filter(table, lambda r: F.contains(low_text, r["core"]))
         return F.flatten(F.transform(near, one))
 
-    gate = low.rlike("|".join(quote(c) for c in dict.fromkeys(r[5] for r in rows) if c))
+    gate = low.rlike(any_of({r[5] for r in rows}))
     return F.when(gate, F.flatten(F.transform(F.array(low), all_of))).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
@@ -180,9 +180,9 @@ def suppressions(text: Column) -> Column:
 
 def checked(docs: DataFrame, cfg: dict, text: str = "text") -> DataFrame:
     """docs with findings (array, in order) and suppressed (how many were silenced)."""
-    d = docs.withColumn("_t", prepared(F.col(text)))
+    d = settled(docs.withColumn("_t", prepared(F.col(text))))
     d = d.withColumn("_found", placed(F.col("_t"), all_hits(F.col("_t"), cfg)))
-    d = d.withColumn("_found", without_shadowed(F.col("_found"))).withColumn("_sup", suppressions(F.col("_t")))
+    d = settled(d.withColumn("_found", without_shadowed(F.col("_found"))).withColumn("_sup", suppressions(F.col("_t"))))
     silent = lambda f: F.exists("_sup", lambda s: (s["line"] == f["line"]) & (F.array_contains(s["rules"], "*") | F.array_contains(s["rules"], f["rule"])))
     d = d.withColumn("findings", F.when(F.size("_sup") == 0, F.col("_found")).otherwise(F.filter("_found", lambda f: ~silent(f))))
     return d.withColumn("suppressed", F.size("_found") - F.size("findings")).drop("_t", "_found", "_sup")
@@ -190,5 +190,5 @@ def checked(docs: DataFrame, cfg: dict, text: str = "text") -> DataFrame:
 
 def findings(docs: DataFrame, cfg: dict, keys=("doc_id",), text: str = "text") -> DataFrame:
     """One row for each finding: the keys, line, col, severity, rule, match, message and its place among the document's findings."""
-    d = checked(docs, cfg, text).select(*keys, F.posexplode("findings").alias("place", "f"))
+    d = settled(checked(docs, cfg, text).select(*keys, "findings")).select(*keys, F.posexplode("findings").alias("place", "f"))
     return d.select(*keys, "place", "f.line", "f.col", "f.severity", "f.rule", "f.match", "f.message", "f.phrase_ord")
