@@ -17,14 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import partitions, pick, written
 
 WEIGHTS = (5, 2, 1)
 BLOCK = 64        # words in a block
 SHARD = 1024      # slots in an output shard
-ROUNDS = 16
+ROUNDS = 12
 CAP = 3           # a source gives at most so many times its size
-CHUNK = 20_000    # documents in a chunk of the prefix sum, about
+CHUNK = 1000      # documents in a chunk of the prefix sum, about
+SLOTS_PER_TASK = 100_000
 P = 2147483647    # a prime
 
 
@@ -131,7 +132,8 @@ def draw(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
 
 def slots(spark, t: DataFrame, n: int, block: int, shard: int) -> DataFrame:
     """Every slot of the mix: slot, out_shard, ord (source), block index."""
-    s = spark.range(n).withColumnRenamed("id", "slot").withColumn("out_shard", F.floor(F.col("slot") / shard))
+    parts = max(partitions(spark), -(-n // SLOTS_PER_TASK))
+    s = spark.range(0, n, 1, parts).withColumnRenamed("id", "slot").withColumn("out_shard", F.floor(F.col("slot") / shard))
     edges = t.where("slots > 0").agg(F.sort_array(F.collect_list(F.struct(F.col("from_slot").cast("long").alias("lo"), F.col("ord").cast("long").alias("ord"), "blocks"))).alias("edges"))
     s = s.crossJoin(F.broadcast(edges))  # one row: the sources' shares of the slots
 
