@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -137,7 +139,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches, limit: int = 1 << 20, column: str = "text"):
+def slices(batches, limit: int = 1 << 19, column: str = "text"):
     """Record batches cut so that each holds about limit bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
@@ -148,6 +150,17 @@ def slices(batches, limit: int = 1 << 20, column: str = "text"):
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Give back to the system what this worker has freed; idle workers would keep it from others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 # ---------------------------------------------------------------- words

@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, mix, partitions, pick, rolling, slices, utf8, word_hashes, word_spans, written
+from .common import M1, mix, partitions, pick, rolling, slices, trim, utf8, word_hashes, word_spans, written
 from .graph import components
 
 WORDS = 5
 NUM, DEN = 4, 5            # similarity >= NUM / DEN
-PER_BUCKET = 2_000_000     # signatures in a bucket, about
+PER_BUCKET = 500_000     # signatures in a bucket, about
 SIGMA = 5.0
 PARITY_LOG = 11
 PARITY = 1 << PARITY_LOG
@@ -177,7 +177,7 @@ def survey(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, bits binary, levels array<int>")
 
 
-FLUSH = 1_500_000  # signatures kept before a task writes them out
+FLUSH = 750_000  # signatures kept before a task writes them out
 
 
 def signed(docs: DataFrame, level: dict[int, int], buckets: int) -> DataFrame:
@@ -236,6 +236,7 @@ def matched(packed: DataFrame) -> DataFrame:
         first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
         u = node[first][np.cumsum(first) - 1] if len(sig) else node
         pairs = np.unique(np.stack([u, node], 1)[u != node], axis=0) if len(sig) else np.zeros((0, 2), np.int64)
+        trim()
         return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
     return packed.groupBy("bucket").applyInPandas(run, "u long, v long")
@@ -387,15 +388,17 @@ def components_of(d: DataFrame) -> DataFrame:
     level: dict[int, int] = {}
     for r in a.select(F.explode("levels").alias("x")).groupBy(F.floor(F.col("x") / 64).cast("int").alias("band")).agg(F.max(F.col("x") % 64).alias("level")).collect():
         level[r["band"]] = r["level"]  # one row for each size band
-    nodes = written(a.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(first()).alias("first"), F.max("n_shingles").alias("n"), F.max("bits").alias("bits")), "nodes")
+    nodes = written(a.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(first()).alias("first"), F.max("n_shingles").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions(spark), math.ceil(total * 0.7 / PER_BUCKET))
     star = written(matched(signed(d, level, buckets)).distinct(), "stars")
-    checked = written(verified(d, nodes, in_reach(star, nodes)), "links")
+    ends = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
+    sketch = written(a.where("bits is not null").select("node", "bits", F.col("n_shingles").alias("n")).join(ends, "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    checked = written(verified(d, nodes, in_reach(star, sketch)), "links")
     root = components(checked.where("linked").select("u", "v"))
     # where a member failed against its centre: pairs of the centre's members that are still apart. First each node's nearest, then the rest
     for every in (False, True):
-        more = written(apart(star, checked, root, nodes, every).join(checked, ["u", "v"], "left_anti"), "apart")
+        more = written(apart(star, checked, root, sketch, every).join(checked, ["u", "v"], "left_anti"), "apart")
         if more.isEmpty():
             break
         checked = checked.union(written(verified(d, nodes, more), "links"))
