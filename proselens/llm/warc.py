@@ -28,13 +28,10 @@ CRLF = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(column):
-    """Bare upper-case base32 of the SHA-1 of a string's UTF-8 bytes: four groups of 40 bits, eight digits each."""
-    digest, out = F.sha1(F.encode(column, "UTF-8")), []
-    for g in range(4):
-        v = F.conv(F.substring(digest, 1 + 10 * g, 10), 16, 10).cast("long")
-        out += [F.substring(F.lit(ALPHABET), F.shiftright(v, 35 - 5 * k).bitwiseAND(31).cast("int") + 1, F.lit(1)) for k in range(8)]
-    return F.concat(*out)
+def base32_sha1(sha1_hex):
+    """Bare upper-case base32 of a SHA-1 in hexadecimal: four groups of 40 bits become eight digits each."""
+    digits = [F.lpad(F.conv(F.substring(sha1_hex, 1 + 10 * g, 10), 16, 32), 8, "0") for g in range(4)]
+    return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", ALPHABET)
 
 
 def url_key(url):
@@ -47,7 +44,7 @@ def url_key(url):
 def record(record_type, refers, url, ts, page_id, digest, size, payload):
     """A record without the two line ends that close it."""
     name = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("none")), F.lit(">"))
-    http = F.concat(F.lit(CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])), size.cast("string"), F.lit(CRLF * 2), payload)
+    http = F.concat(F.lit(CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])), size.cast("string"), F.lit(CRLF * 2))
     head = F.concat_ws(CRLF, F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), record_type),
                        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20]", "%20")),
                        F.concat(F.lit("WARC-Date: "), ts), F.concat(F.lit("WARC-Record-ID: "), name(page_id)),
@@ -55,8 +52,8 @@ def record(record_type, refers, url, ts, page_id, digest, size, payload):
                        F.when(refers.isNotNull(), F.concat(F.lit("WARC-Refers-To: "), name(refers))),
                        F.when(refers.isNotNull(), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
                        F.lit("Content-Type: application/http; msgtype=response"),
-                       F.concat(F.lit("Content-Length: "), F.octet_length(http).cast("string")))
-    return F.concat(head, F.lit(CRLF * 2), http)
+                       F.concat(F.lit("Content-Length: "), (F.octet_length(http) + F.octet_length(payload)).cast("string")))
+    return F.concat(head, F.lit(CRLF * 2), http, payload)
 
 
 def write(pages: DataFrame, path: str) -> None:
@@ -67,17 +64,18 @@ def write(pages: DataFrame, path: str) -> None:
     to find the first page of each payload; revisits carry no payload."""
     p = pick(pages, {"page_id": "long", "url": "string", "html": "string"})
     p = p.withColumn("html", F.coalesce("html", F.lit("")))
-    p = p.withColumn("size", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html")))
-    first = p.groupBy("digest", "size").agg(F.min("page_id").alias("first"))
+    p = p.withColumn("size", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
+    first = written(p.groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")), "payloads")
     # most payloads are their own response; a join only by digest moves each html once
-    p = p.join(first, ["digest", "size"])
+    p = p.join(first.withColumn("digest", base32_sha1(F.col("sha1"))), ["sha1", "size"])
     again = (F.col("size") >= LEAST_REVISIT) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     ts = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     text = record(F.when(again, F.lit("revisit")).otherwise(F.lit("response")), F.when(again, F.col("first")), F.col("url"), ts, F.col("page_id"), F.col("digest"), F.col("size"),
                   F.when(again, F.lit("")).otherwise(F.col("html")))
-    total = pages.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html").cast("long")).alias("b")).first()
-    each = max(1, int(ARCHIVE_BYTES / max(1.0, (total["b"] or 0) / max(1, total["n"]))))
+    total = first.agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("size")).alias("b")).first()
+    each = max(1, int(ARCHIVE_BYTES / max(1.0, (total["b"] or 0) / max(1, total["n"] or 0))))
     p.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    discard(first)
 
 
 def parse(stream):
