@@ -61,7 +61,7 @@ def test_sources(spark, url, hit):
 def test_suppression(spark):
     t = "This is a game-changer."
     texts = [f"{t} <!-- proselint: ignore-line banned-phrase -->", f"<!-- proselint: ignore-next-line -->\n{t}", f"{t} <!-- proselint: ignore-line filler -->", f"`<!-- proselint: ignore-line -->` {t}",
-             f"proselint: ignore-line {t}", f"{t} <!-- PROSELINT: IGNORE -->", f"<!-- proselint: IGNORE-NEXT-LINE -->\n{t}", f"{t} <!-- structlint: ignore-line -->"]
+             f"proselint: ignore-line {t}", f"{t} <!-- PROSELINT: IGNORE -->", f"<!-- proselint: IGNORE-NEXT-LINE -->\n{t}", f"{t} <!-- structproselint: ignore-line -->"]
     got = run(spark, texts)
     assert [(len(got[k][0]), got[k][1]) for k in range(len(texts))] == [(0, 1), (0, 1), (1, 0), (1, 0), (1, 0), (0, 1), (1, 0), (1, 0)]
 
