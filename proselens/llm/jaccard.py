@@ -26,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, mix, partitions, pick, rolling, slices, trim, utf8, word_hashes, word_spans, written
+from .common import M1, mix, pick, rolling, slices, trim, utf8, word_hashes, word_spans, written
 from .graph import components
 
 WORDS = 5
 NUM, DEN = 4, 5            # similarity >= NUM / DEN
 PER_BUCKET = 500_000     # signatures in a bucket, about
 SIGMA = 5.0
-PARITY_LOG = 11
+BANDS_IN_USE = 20         # about as many size bands hold nearly all sets
+PARITY_LOG = 10
 PARITY = 1 << PARITY_LOG
 BLOOM_BITS = 1 << 26       # fixed size of the filter of texts to fetch (8 MB); a full filter only costs time
 
@@ -135,18 +136,20 @@ def short_of(s: np.ndarray, band: int) -> int:
     return level
 
 
-def signatures(s: np.ndarray, band: int, level: int) -> np.ndarray:
+def signatures(s: np.ndarray, band: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the set's segments and of their one-deletion neighbourhoods, and the segment of each."""
     _, q, _ = allocation(band, level)
     h, seg, first, n = segments(s, band, level)
     total = np.add.reduceat(h, first)
     tag = (seg + np.uint64(band << 40)) * M1
-    out = [mix(total + n.astype(np.uint64) * M1 + mix(tag))]
+    out, of = [mix(total + n.astype(np.uint64) * M1 + mix(tag))], [seg]
     near = np.flatnonzero((seg < q) & (n >= 2))
     if len(near):
         rep = np.repeat(near, n[near])
         at = np.concatenate([np.arange(first[k], first[k] + n[k]) for k in near])
         out.append(mix(total[rep] - h[at] + (n[rep] - 1).astype(np.uint64) * M1 + mix(tag[rep])))
-    return np.concatenate(out)
+        of.append(seg[rep])
+    return np.concatenate(out), np.concatenate(of).astype(np.int64)
 
 
 def bands_of(n: int) -> list[int]:
@@ -180,16 +183,17 @@ def survey(docs: DataFrame) -> DataFrame:
 FLUSH = 750_000  # signatures kept before a task writes them out
 
 
-def signed(docs: DataFrame, level: dict[int, int], buckets: int) -> DataFrame:
-    """Packed signatures: bucket, sigs (uint64), nodes (int64), runs (uint32: signatures of each node). Within a task, each node only once."""
+def signed(docs: DataFrame, level: dict[int, int], parts: int) -> DataFrame:
+    """Packed signatures: bucket, sigs (uint64), nodes (int64), runs (uint32: signatures of each node). Within a task, each node only once.
+
+    A bucket holds whole segments of a band, every parts-th: so that a pair that agrees on many segments meets in few buckets."""
     def run(batches):
         seen: set[int] = set()
-        sigs, nodes, kept = [], [], 0
+        sigs, where, nodes, kept = [], [], [], 0
 
         def flush():
-            sig = np.concatenate(sigs)
+            sig, b = np.concatenate(sigs), np.concatenate(where)
             node = np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs])
-            b = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             order = np.argsort(b, kind="stable")
             sig, node, b = sig[order], node[order], b[order]
             cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
@@ -206,13 +210,14 @@ def signed(docs: DataFrame, level: dict[int, int], buckets: int) -> DataFrame:
                     continue
                 seen.add(h)
                 for b in bands_of(len(s)):
-                    x = signatures(s, b, level.get(b, 0))
+                    x, seg = signatures(s, b, level.get(b, 0))
                     sigs.append(x)
+                    where.append(b * parts + seg % parts)
                     nodes.append(h)
                     kept += len(x)
                 if kept > FLUSH:
                     yield flush()
-                    sigs, nodes, kept = [], [], 0
+                    sigs, where, nodes, kept = [], [], [], 0
         if sigs:
             yield flush()
 
@@ -390,8 +395,8 @@ def components_of(d: DataFrame) -> DataFrame:
         level[r["band"]] = r["level"]  # one row for each size band
     nodes = written(a.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(first()).alias("first"), F.max("n_shingles").alias("n")), "nodes")
     total = nodes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions(spark), math.ceil(total * 0.7 / PER_BUCKET))
-    star = written(matched(signed(d, level, buckets)).distinct(), "stars")
+    parts = max(1, math.ceil(total * 0.7 / PER_BUCKET / BANDS_IN_USE))
+    star = written(matched(signed(d, level, parts)).distinct(), "stars")
     ends = star.select(F.col("u").alias("node")).union(star.select(F.col("v").alias("node"))).distinct()
     sketch = written(a.where("bits is not null").select("node", "bits", F.col("n_shingles").alias("n")).join(ends, "node", "left_semi").dropDuplicates(["node"]), "sketches")
     checked = written(verified(d, nodes, in_reach(star, sketch)), "links")
