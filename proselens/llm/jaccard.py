@@ -34,8 +34,7 @@ NUM, DEN = 4, 5            # similarity >= NUM / DEN
 PER_BUCKET = 500_000     # signatures in a bucket, about
 SIGMA = 5.0
 BANDS_IN_USE = 20         # about as many size bands hold nearly all sets
-PARITY_LOG = 10
-PARITY = 1 << PARITY_LOG
+LEAST_BITS = 512
 BLOOM_BITS = 1 << 26       # fixed size of the filter of texts to fetch (8 MB); a full filter only costs time
 
 
@@ -63,10 +62,17 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """PARITY bits, each the parity of the elements that hash to it. Where two sets' bits differ, the sets differ by an element at
-    least, so the number of different bits is a lower bound of their difference."""
-    at = (mix(s) >> np.uint64(64 - PARITY_LOG)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+    """Bits, at least twice as many as elements, each the parity of the elements that hash to it. Where two sets' bits differ, the sets
+    differ by an element at least, so the number of different bits is a lower bound of their difference."""
+    size = max(LEAST_BITS, 1 << int(2 * len(s) - 1).bit_length())
+    at = (mix(s) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def halved(words: np.ndarray) -> np.ndarray:
+    """The bits of half the number that the same sets have."""
+    h = words.shape[-1] // 2
+    return words[..., :h] ^ words[..., h:]
 
 
 # ---------------------------------------------------------------- bands and allocation
@@ -247,8 +253,37 @@ def matched(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInPandas(run, "u long, v long")
 
 
-def differing(bits: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(bits ^ row).sum(-1, dtype=np.int64)
+class Sketches:
+    """Parity bits of several sets. Sets that are similar have equally many bits or twice as many."""
+
+    def __init__(self, bits: list[bytes]):
+        own = [np.frombuffer(b, np.uint64) for b in bits]
+        self.size = np.array([len(w) for w in own])
+        self.at, self.of = {}, {}
+        for size in set(self.size.tolist()) | {int(x) // 2 for x in self.size}:
+            rows = np.flatnonzero((self.size == size) | (self.size == 2 * size))
+            self.at[size] = np.full(len(own), -1)
+            self.at[size][rows] = np.arange(len(rows))
+            self.of[size] = np.stack([own[r] if self.size[r] == size else halved(own[r]) for r in rows])
+
+    def differing(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Bits that differ between set i and the others, in the smaller number of bits of both."""
+        out = np.zeros(len(others), np.int64)
+        low = np.minimum(self.size[others], self.size[i])
+        for size in np.unique(low):
+            k = np.flatnonzero(low == size)
+            at, of = self.at[int(size)], self.of[int(size)]
+            out[k] = np.bitwise_count(of[at[others[k]]] ^ of[at[i]]).sum(-1, dtype=np.int64)
+        return out
+
+
+def differing(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = halved(x)
+    while len(y) > len(x):
+        y = halved(y)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def apart(star: DataFrame, checked: DataFrame, root: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
@@ -267,14 +302,14 @@ def apart(star: DataFrame, checked: DataFrame, root: DataFrame, nodes: DataFrame
     def run(key, pdf):
         node, n = pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
         _, comp = np.unique(pdf["root"].to_numpy(np.int64), return_inverse=True)
-        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(node), -1)
+        sketches = Sketches(pdf["bits"].tolist())
         small = np.flatnonzero(comp != np.bincount(comp).argmax())
         out = []
         for i in small:
             at = np.flatnonzero((comp != comp[i]) & (NUM * np.maximum(n, n[i]) <= DEN * np.minimum(n, n[i])) & (every | (node != key[0])))
             if not len(at):
                 continue
-            slack = (DEN - NUM) * (n[at] + n[i]) - (DEN + NUM) * differing(bits[at], bits[i])
+            slack = (DEN - NUM) * (n[at] + n[i]) - (DEN + NUM) * sketches.differing(i, at)
             at, slack = at[slack >= 0], slack[slack >= 0]
             if len(at):
                 out.append(np.stack([np.full(len(at), node[i]), node[at]], 1) if every else np.array([[node[i], node[at[slack.argmax()]]]]))
@@ -427,9 +462,9 @@ def in_reach(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bu", "bv"))
-            n = batch.column("nu").to_numpy() + batch.column("nv").to_numpy()
-            yield batch.select(["u", "v"]).filter(pa.array((DEN - NUM) * n >= (DEN + NUM) * differing(a, b)))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("nu", "nv", "bu", "bv")))
+            ok = [(DEN - NUM) * (m + n) >= (DEN + NUM) * differing(a, b) for m, n, a, b in rows]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return p.mapInArrow(run, "u long, v long")
 

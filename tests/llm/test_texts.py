@@ -74,8 +74,9 @@ def test_pigeonhole_budget():
                     level[b] = max(level.get(b, 0), jaccard.short_of(x, b))
             common = [set(jaccard.signatures(s, b, level[b])[0]) & set(jaccard.signatures(t, b, level[b])[0]) for b in set(jaccard.bands_of(len(s))) & set(jaccard.bands_of(len(t)))]
             assert any(common)
-            bits = [np.frombuffer(jaccard.parity(x), np.uint64) for x in (s, t)]
-            assert jaccard.differing(bits[0], bits[1]) <= drop
+            bits = [jaccard.parity(x) for x in (s, t)]
+            assert jaccard.differing(*bits) <= drop
+            assert jaccard.Sketches(bits).differing(0, np.array([1, 0])).tolist() == [jaccard.differing(*bits), 0]
 
 
 def brute_removed(texts):
