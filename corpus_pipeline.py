@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded: none to three times."""
+    """Each document as often as the mix takes its words, rounded without bias: none to three times."""
     return mixing.repeated(documents(docs))
 
 

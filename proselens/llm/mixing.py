@@ -160,7 +160,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     took = cut.join(drawn, ["ord", "block"]).groupBy("ord", "_from").agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     # where a document that isn't empty begins within its source identifies it
     out = d.join(took, ["ord", "_from"], "left").withColumn("taken", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long"))
-    return out.drop("_h", "_chunk", "_base", "_from", "ord", "blocks", "slots", "chunks")
+    return out.drop("_h", "_base", "_from", "blocks", "slots", "chunks")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -170,11 +170,20 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, source and further columns), each row round(taken / size) times; rows without words go. Only small columns are mixed; texts
-    move once, to meet their counts. Rows that are equal in all columns are separate documents, whose counts add up."""
+    """docs (doc_id, text, source and further columns), each row taken / size times, rounded without bias; rows without words go. Only small columns are
+    mixed; texts move once, to meet their counts. Rows that are equal in all columns are separate documents, whose counts add up.
+
+    Remainders are carried along the documents of a chunk in order of size, from a pseudorandom start: so many of them are rounded up
+    as they add up to, and the words that a source hands on come near those that it draws."""
     d = docs.withColumn("_id", F.xxhash64(*docs.columns))
     small = written(d.select("doc_id", "source", words(F.col("text")).alias("size"), "_id"), "sizes")
-    times = mix(small).where("size > 0").groupBy("_id").agg(F.round(F.sum("taken") / F.max("size")).cast("int").alias("_times")).where("_times > 0")
+    along = Window.partitionBy("ord", "_chunk").orderBy("size", "_id", "taken")
+    start = F.pmod(F.xxhash64("ord", "_chunk", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
+    m = mix(small).where("size > 0").withColumn("_rest", (F.col("taken") % F.col("size")) / F.col("size"))
+    m = m.withColumn("_to", F.sum("_rest").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("_before", F.coalesce(F.sum("_rest").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    copies = F.floor(F.col("taken") / F.col("size")) + F.floor(start + F.col("_to")) - F.floor(start + F.col("_before"))
+    times = m.withColumn("_copies", copies).groupBy("_id").agg(F.sum("_copies").cast("int").alias("_times")).where("_times > 0")
     once = d.join(times, "_id").dropDuplicates(["_id"])
     return once.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 

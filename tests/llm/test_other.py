@@ -136,6 +136,25 @@ def test_targets_and_taken(spark):
     assert mixing.mix_documents(d.where("doc_id in (9000, 9001)")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_repeated_keeps_the_words_of_sources(spark):
+    """Long documents, of which nearly all have the ratio of their source: rounding each by itself drops them all or none."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randrange(2000, 4000)), "en", f"s{i % 3}") for i in range(240)] + [(900, None, "en", "s0"), (901, "few words", "en", "s1"), (901, "few words", "en", "s1")]
+    d = documents(spark, rows)
+    taken, size, handed = Counter(), {r[0]: len((r[1] or "").split()) for r in rows}, Counter()
+    share = {}
+    for r in mixing.mix_documents(d).collect():
+        taken[r["source"]] += r["taken"]
+        share[r["doc_id"]] = share.get(r["doc_id"], 0) + r["taken"] / max(1, r["size"])
+    times = Counter()
+    for r in mixing.repeated(d.repartition(3)).select("doc_id", "source").collect():
+        handed[r["source"]] += size[r["doc_id"]]
+        times[r["doc_id"]] += 1
+    assert all(abs(handed[s] - taken[s]) <= 0.03 * taken[s] for s in taken), (handed, taken)
+    assert all(times[i] in (math.floor(x), math.ceil(x)) for i, x in share.items() if i < 900)
+    assert times == Counter(r["doc_id"] for r in mixing.repeated(d).select("doc_id").collect())
+
+
 def brute_permute(x, n, key):
     for a, b, c in mixing.ROUND:
         other = ((a + key * b) % mixing.P % n - x + n) % n
