@@ -2,8 +2,8 @@
 
 Each whole text is scanned with three patterns. Then its encoded parts are unwrapped: percent-encoded and Unicode- or entity-escaped lines,
 base64 runs, and compressed data inside them. Every layer is scanned again and its own encoded parts join
-the worklist, until nothing is left. A layer whose text was seen before in the document is not taken up
-again, so cycles end. Each character of a layer knows the range of the original text that it stems from, so that spans always refer to
+the worklist, until nothing is left. A layer is known by its text and the place that it stems from: the same at the same place is not taken up
+again, so cycles end, while an encoded part that is repeated is scanned wherever it stands. Each character of a layer knows the range of the original text that it stems from, so that spans always refer to
 the original.
 """
 
@@ -140,22 +140,23 @@ def _layer(text: str, ranges: list[tuple[int, int]]):
 
 
 def spans(text: str) -> tuple[list, set, int]:
-    """(base spans, all spans, layers): spans as (start, kind, end) in code points of the text."""
+    """(base spans, all spans, layers): spans as (start, kind, end) in code points of the text; layers counts different texts."""
     base = scan(text)
-    found, seen, layers = set(base), {text}, 0
+    found, seen, texts = set(base), {(text, 0, len(text))}, {text}
     work = [(text, lambda i, j: (i, j))]
     while work:
         now, at = work.pop()
         for inner, to in unwrapped(now, at):
-            if inner in seen:
+            place = inner, *to(0, len(inner))
+            if place in seen:
                 continue
-            seen.add(inner)
-            layers += 1
+            seen.add(place)
+            texts.add(inner)
             for s, kind, e in scan(inner):
                 lo, hi = to(s, e)
                 found.add((lo, kind, hi))
             work.append((inner, to))
-    return base, found, layers
+    return base, found, len(texts) - 1
 
 
 def shown(found) -> str:
