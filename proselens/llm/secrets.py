@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 Each whole text is scanned with three patterns. Then its encoded parts are unwrapped: percent-encoded and Unicode- or entity-escaped lines,
-base64 runs, and compressed data inside them. Every layer is scanned again and its own encoded parts join
+base64 runs (of one line, and of wrapped lines joined), and compressed data inside them. Decoded bytes that are no clean text are scanned all the same. Every layer is scanned again and its own encoded parts join
 the worklist, until nothing is left. A layer is known by its text and the place that it stems from: the same at the same place is not taken up
 again, so cycles end, while an encoded part that is repeated is scanned wherever it stands. Each character of a layer knows the range of the original text that it stems from, so that spans always refer to
 the original.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -33,6 +34,7 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE_LINE = re.compile(r"[^\n]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)[^\n]*")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAP = re.compile(r"[\x20\t]*\r?\n[\x20\t]*(?:>[\x20\t]?)*([A-Za-z0-9+/_-]+={0,2})")  # a further line of a wrapped run, perhaps indented or quoted
 LAYER_BYTES = 1 << 26  # of a decompressed layer, so many bytes are scanned: a guard of memory against decompression bombs
 
 
@@ -78,12 +80,51 @@ def _percent(run: str) -> str:
     return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
 
-def _printable(raw: bytes) -> str | None:
-    try:
-        s = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return s if len(s) >= 8 and all(c.isprintable() or c in "\t\r\n" for c in s) else None
+def _printable(text: str) -> bool:
+    return len(text) >= 8 and all(c.isprintable() or c in "\t\r\n" for c in text)
+
+
+def _texts(raw: bytes):
+    """Readings (text, encoding, first byte) of bytes that are not all printable, where they hold a secret or an encoded part: UTF-8, in which a byte that
+    belongs to no character stands for itself, and where there are NULs UTF-16 from either byte."""
+    s = raw.decode("utf-8", "surrogateescape")
+    if _tells(s):
+        yield s, "utf-8", 0
+    for start in (0, 1) if b"\0" in raw else ():
+        t = raw[start : len(raw) - (len(raw) - start) % 2].decode("utf-16-le", "replace")
+        if _tells(t):
+            yield t, "utf-16-le", start
+
+
+def _edges(text: str, encoding: str, start: int) -> list[int]:
+    """The byte at which each character begins, and the end."""
+    return list(itertools.accumulate((len(c.encode(encoding, "surrogateescape")) for c in text), initial=start))
+
+
+def _tells(text: str) -> bool:
+    return bool(scan(text) or BASE64.search(text) or URL_RUN.search(text) or ESCAPE.search(text))
+
+
+def _runs(text: str):
+    """Base64 runs (characters, their places in the text): each run of a line, and lines of one width together with a shorter one that ends them. The
+    first may be of another width where something else stands before it."""
+    wrapped = 0
+    for m in BASE64.finditer(text):
+        yield m.group(), range(m.start(), m.end())
+        if m.start() < wrapped or m.group().endswith("="):
+            continue
+        runs, end = [m.span()], m.end()
+        width = None if text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip(" \t>") else end - m.start()
+        while (n := WRAP.match(text, end)) and (width is None or len(n[1]) <= width):
+            width = width or len(n[1])
+            runs.append(n.span(1))
+            end = n.end()
+            if len(n[1]) < width or n[1].endswith("="):
+                break
+        if len(runs) > 1:
+            if runs[0][1] - runs[0][0] == width:  # lines of full width begin no group of their own
+                wrapped = runs[-1][0]
+            yield "".join(text[x:y] for x, y in runs), [i for x, y in runs for i in range(x, y)]
 
 
 def _inflated(raw: bytes) -> bytes | None:
@@ -112,27 +153,26 @@ def unwrapped(text: str, at):
     if "\\" in text or "&#" in text:
         for m in ESCAPE_LINE.finditer(text):
             yield _layer(*_replaced(text, m.start(), m.end(), ESCAPE, _code, at))
-    for m in BASE64.finditer(text):
-        run = m.group().rstrip("=").replace("-", "+").replace("_", "/")
+    for run, places in _runs(text):
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
         if len(run) % 4 == 1:
             run = run[:-1]
         raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        inner = _printable(raw)
-        if inner is not None:
-            ranges, byte = [], 0
-            for c in inner:
-                n = len(c.encode())
-                ranges.append(at(m.start() + byte * 4 // 3, min(m.end(), m.start() + ((byte + n) * 4 + 2) // 3)))
-                byte += n
-            yield _layer(inner, ranges)
+        plain = raw.decode("utf-8", "surrogateescape")
+        more = None if _printable(plain) else _inflated(raw)
+        if not more:
+            last = len(places) - 1
+            for inner, encoding, start in [(plain, "utf-8", 0)] if _printable(plain) else _texts(raw):
+                edges = _edges(inner, encoding, start)
+                yield _layer(inner, [at(places[x * 4 // 3], places[min(last, (y * 4 + 2) // 3 - 1)] + 1) for x, y in zip(edges, edges[1:])])
             continue
-        more = _inflated(raw)
         depth = 0
-        while more is not None and depth < 8 and (next_ := _inflated(more)) is not None:
+        while depth < 8 and (next_ := _inflated(more)) is not None:
             more, depth = next_, depth + 1
         if more:
-            whole = at(m.start(), m.end())
-            yield more.decode("utf-8", "replace"), lambda i, j, w=whole: w
+            whole = at(places[0], places[-1] + 1)
+            for inner in {more.decode("utf-8", "replace"), *(t for t, encoding, _ in _texts(more) if encoding != "utf-8")}:
+                yield inner, lambda i, j, w=whole: w
 
 
 def _layer(text: str, ranges: list[tuple[int, int]]):
