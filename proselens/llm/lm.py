@@ -2,8 +2,8 @@
 
 Tokens are characters folded into CLASSES classes. A window network - embeddings of the SIDE tokens on either side, one hidden layer, a
 softmax over classes - predicts every token from both sides. It is trained in numpy, by rounds: each task takes Adam steps on the
-contexts that it holds, drawn in proportion to their counts, and the driver averages the parameters by weight. What it learns from are the counts of all
-contexts of all documents. A document's score is the sum over its tokens of the log-probability given both sides.
+contexts that it holds, and the driver averages the parameters by weight. What it learns from are the counts of all contexts of all documents: the
+rounds together pass over every token at least once, so that steps grow with the tokens; few tokens are passed over several times. A document's score is the sum over its tokens of the log-probability given both sides.
 
 Scores are looked up: a batch's distinct contexts go through the network once.
 """
@@ -96,34 +96,56 @@ def forward(p, around):
     return e, h, z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def gradients(p, around, at):
+def gradients(p, around, at, share=None):
+    """Of the mean loss; with share, of the sum of losses weighted by it."""
     e, h, lp = forward(p, around)
     d = np.exp(lp)
     d[np.arange(len(at)), at] -= 1
-    d /= len(at)
+    d *= 1 / len(at) if share is None else share[:, None]
     dh = (d @ p[3].T) * (1 - h * h)
     de = (dh @ p[1].T).reshape(-1, EMBED)
-    onehot = np.zeros((CLASSES, len(de)))
+    onehot = np.zeros((CLASSES, len(de)), de.dtype)
     onehot[around.reshape(-1), np.arange(len(de))] = 1
     return [onehot @ de, e.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
 
 
-def steps(p, key, count, seed, rate):
-    """Adam steps on contexts drawn in proportion to their counts; the more contexts, the more steps."""
-    rng = np.random.default_rng(seed)
-    p = [x.copy() for x in p]
-    m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+def n_steps(tokens: int, rounds: int) -> int:
+    """Steps of a round, such that all rounds pass over all tokens."""
+    return max(LEAST_STEPS, -(-tokens // (STEP_ROWS * rounds)))
+
+
+def passed(count, seed, k, rounds):
+    """For each step of round k: (contexts, how often each), STEP_ROWS tokens in all.
+
+    The tokens are a line, on which each context takes its count. A grid of at least as many points lies evenly over it; every point
+    belongs to one step of one round, and the points of a step are evenly spread."""
     total = np.cumsum(count)
-    n = max(LEAST_STEPS, len(key) // STEP_ROWS)
-    for t in range(1, n + 1):
-        drawn = np.searchsorted(total, rng.random(STEP_ROWS) * total[-1], "right")
-        g = gradients(p, *unpack(key[np.minimum(drawn, len(key) - 1)]))
-        r = rate * (1 - t / (n + 1)) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+    tokens, n = int(total[-1]), n_steps(int(total[-1]), rounds)
+    points = n * STEP_ROWS * rounds
+    row = np.arange(STEP_ROWS, dtype=np.int64) * n
+    for t in np.random.default_rng(seed).permutation(n):
+        point = (row + t) * rounds + k
+        token = point * tokens // points if tokens < 1 << 31 else (point.astype(object) * tokens // points).astype(np.int64)
+        drawn = np.searchsorted(total, token, "right")
+        first = np.flatnonzero(np.r_[True, drawn[1:] != drawn[:-1]])
+        yield drawn[first], np.diff(np.r_[first, STEP_ROWS])
+
+
+def steps(p, key, count, seed, rate, k=0, rounds=1):
+    """Adam steps of round k over its tokens; the more tokens, the more steps."""
+    kind = p[0].dtype
+    p = [x.astype(np.float32) for x in p]
+    m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+    n = n_steps(int(count.sum()), rounds)
+    around, at = unpack(key)
+    for t, (drawn, times) in enumerate(passed(count, seed, k, rounds), 1):
+        g = gradients(p, around[drawn], at[drawn], (times / STEP_ROWS).astype(np.float32))
+        r = np.float32(rate * (1 - t / (n + 1)) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t))
         for i in range(len(p)):
-            m[i] += 0.1 * (g[i] - m[i])
-            v[i] += 0.001 * (g[i] * g[i] - v[i])
-            p[i] -= r * m[i] / (np.sqrt(v[i]) + 1e-8)
-    return p
+            m[i] += np.float32(0.1) * (g[i] - m[i])
+            v[i] += np.float32(0.001) * (g[i] * g[i] - v[i])
+            p[i] -= r * m[i] / (np.sqrt(v[i]) + np.float32(1e-8))
+    return [x.astype(kind) for x in p]
 
 
 # ---------------------------------------------------------------- training
@@ -184,7 +206,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> list[np.ndarray]:
             for pdf in frames:
                 for b, keys, times in zip(pdf["bucket"], pdf["keys"], pdf["times"]):
                     key, n = np.frombuffer(keys, np.int64), np.frombuffer(times, np.int64)
-                    q = steps(sent.value, key, n, [int(b), k], RATE / (1 + k))
+                    q = steps(sent.value, key, n, [int(b), k], RATE / (1 + k), k, rounds)
                     yield pd.DataFrame({"bucket": [b], "weight": [float(n.sum())], "p": [np.concatenate([x.ravel() for x in q]).tobytes()]})
 
         # averages of averages: a fixed number of parts reach the driver

@@ -267,6 +267,20 @@ def test_gradients():
         assert math.isclose((up - down) / 2e-5, g[k][at_], rel_tol=1e-3, abs_tol=1e-7)
 
 
+@pytest.mark.parametrize("counts", [[3, 1, 400_000, 7, 1, 900_000, 1], [5, 1, 2], list(range(1, 2000))])
+def test_training_passes_over_every_token(counts):
+    """Each token is taken as often as any other, but for one, and at least once; so steps grow with the tokens."""
+    count, seen, taken = np.array(counts), np.zeros(len(counts), np.int64), 0
+    for k in range(lm.ROUNDS):
+        for drawn, times in lm.passed(count, [1, k], k, lm.ROUNDS):
+            assert times.sum() == lm.STEP_ROWS
+            np.add.at(seen, drawn, times)
+            taken += lm.STEP_ROWS
+    assert (seen >= count).all() and seen.sum() == taken >= count.sum()
+    assert (abs(seen - count * taken / count.sum()) <= 2).all()
+    assert lm.n_steps(10**9, lm.ROUNDS) * lm.ROUNDS * lm.STEP_ROWS >= 10**9
+
+
 # ---------------------------------------------------------------- secrets
 
 def brute_base(text):
