@@ -12,8 +12,10 @@ from __future__ import annotations
 import base64
 import bz2
 import hashlib
+import io
 import itertools
 import re
+import tempfile
 import zlib
 
 import pyarrow as pa
@@ -35,7 +37,9 @@ ESCAPE_LINE = re.compile(r"[^\n]*(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 WRAP = re.compile(r"[\x20\t]*\r?\n[\x20\t]*(?:>[\x20\t]?)*([A-Za-z0-9+/_-]+={0,2})")  # a further line of a wrapped run, perhaps indented or quoted
-LAYER_BYTES = 1 << 26  # of a decompressed layer, so many bytes are scanned: a guard of memory against decompression bombs
+LAYER_BYTES = 1 << 26  # a decompressed layer of more bytes goes to disk and is scanned in pieces of so many: a guard of memory against decompression bombs
+OVERLAP = 1 << 20      # bytes that a piece has in common with the one before it
+READ, PIECE = 1 << 16, 1 << 20
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -127,22 +131,75 @@ def _runs(text: str):
             yield "".join(text[x:y] for x, y in runs), [i for x, y in runs for i in range(x, y)]
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """What gzip, zlib, bzip2 or zstandard data hold, up to LAYER_BYTES; None where they hold none."""
+class _Zstandard:
+    def __init__(self):
+        import zstandard
+
+        self.d, self.unconsumed_tail = zstandard.ZstdDecompressor().decompressobj(), b""
+
+    def decompress(self, data: bytes, _) -> bytes:
+        return self.d.decompress(data)
+
+    eof = property(lambda self: self.d.eof)
+    unused_data = property(lambda self: self.d.unused_data)
+
+
+def _decompressor(head: bytes):
+    """For gzip, zlib, bzip2 or zstandard data that begin so; None for others."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return _Zstandard()
+    return None
+
+
+def _members(data):
+    """What the compressed members at the beginning of a file hold, in pieces; cut or damaged ones as far as they can be read."""
+    feed = data.read(READ)
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, LAYER_BYTES)
-        if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(raw, LAYER_BYTES)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, LAYER_BYTES)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)[:LAYER_BYTES]
+        while (d := _decompressor(feed)) is not None:
+            while not d.eof:
+                piece = d.decompress(feed, PIECE)
+                if piece:
+                    yield piece
+                feed = getattr(d, "unconsumed_tail", b"")
+                if not feed and not d.eof and len(piece) < PIECE and not (feed := data.read(READ)):
+                    return
+            feed = d.unused_data.lstrip(b"\0")  # padding
+            while len(feed) < 4 and (more := data.read(READ)):
+                feed = (feed + more).lstrip(b"\0")
     except Exception:  # noqa: BLE001  not such data after all
-        return None
-    return None
+        return
+
+
+def _inflated(raw: bytes):
+    """A file with what compressed data hold, unwrapped until they are no longer compressed or come again; None where they hold nothing."""
+    now, out, seen = io.BytesIO(raw), None, set()
+    while True:
+        digest = hashlib.sha256()
+        inner = tempfile.SpooledTemporaryFile(LAYER_BYTES)
+        for piece in _members(now):
+            digest.update(piece)
+            inner.write(piece)
+        if not inner.tell() or digest.digest() in seen:
+            return out
+        seen.add(digest.digest())
+        inner.seek(0)
+        now = out = inner
+
+
+def _pieces(data):
+    """The bytes of a file: all, or overlapping pieces if they are many."""
+    data.seek(0)
+    now = data.read(LAYER_BYTES)
+    while now:
+        yield now
+        more = data.read(LAYER_BYTES - OVERLAP)
+        now = more and now[-OVERLAP:] + more
 
 
 def unwrapped(text: str, at):
@@ -160,18 +217,15 @@ def unwrapped(text: str, at):
         raw = base64.b64decode(run + "=" * (-len(run) % 4))
         plain = raw.decode("utf-8", "surrogateescape")
         more = None if _printable(plain) else _inflated(raw)
-        if not more:
+        if more is None:
             last = len(places) - 1
             for inner, encoding, start in [(plain, "utf-8", 0)] if _printable(plain) else _texts(raw):
                 edges = _edges(inner, encoding, start)
                 yield _layer(inner, [at(places[x * 4 // 3], places[min(last, (y * 4 + 2) // 3 - 1)] + 1) for x, y in zip(edges, edges[1:])])
             continue
-        depth = 0
-        while depth < 8 and (next_ := _inflated(more)) is not None:
-            more, depth = next_, depth + 1
-        if more:
-            whole = at(places[0], places[-1] + 1)
-            for inner in {more.decode("utf-8", "replace"), *(t for t, encoding, _ in _texts(more) if encoding != "utf-8")}:
+        whole = at(places[0], places[-1] + 1)
+        for piece in _pieces(more):
+            for inner in {piece.decode("utf-8", "replace"), *(t for t, encoding, _ in _texts(piece) if encoding != "utf-8")}:
                 yield inner, lambda i, j, w=whole: w
 
 
@@ -182,20 +236,24 @@ def _layer(text: str, ranges: list[tuple[int, int]]):
 def spans(text: str) -> tuple[list, set, int]:
     """(base spans, all spans, layers): spans as (start, kind, end) in code points of the text; layers counts different texts."""
     base = scan(text)
-    found, seen, texts = set(base), {(text, 0, len(text))}, {text}
-    work = [(text, lambda i, j: (i, j))]
+    known = lambda t: hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()
+    found, seen, texts = set(base), {(known(text), 0, len(text))}, {known(text)}
+    work = [unwrapped(text, lambda i, j: (i, j))]  # of the layers above, only what is not yet unwrapped
     while work:
-        now, at = work.pop()
-        for inner, to in unwrapped(now, at):
-            place = inner, *to(0, len(inner))
-            if place in seen:
-                continue
-            seen.add(place)
-            texts.add(inner)
-            for s, kind, e in scan(inner):
-                lo, hi = to(s, e)
-                found.add((lo, kind, hi))
-            work.append((inner, to))
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        inner, to = layer
+        place = known(inner), *to(0, len(inner))
+        if place in seen:
+            continue
+        seen.add(place)
+        texts.add(place[0])
+        for s, kind, e in scan(inner):
+            lo, hi = to(s, e)
+            found.add((lo, kind, hi))
+        work.append(unwrapped(inner, to))
     return base, found, len(texts) - 1
 
 
