@@ -349,19 +349,21 @@ def bloom_at(ids: np.ndarray) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) for the wanted nodes: the text of each node's representative document. Only texts that pass a small filter are shuffled."""
+    """(node, text) for the wanted nodes: the text of each node's representative document. Only texts that pass a small filter are shuffled.
+    A null doc_id counts as 0 here: the representative of a node whose rows all have none."""
     spark = docs.sparkSession
-    ask = written(wanted.join(nodes.select("node", "rep"), "node"), "ask")
+    ask = written(wanted.join(nodes.select("node", F.coalesce("rep", F.lit(0)).alias("rep")), "node"), "ask")
     sent = spark.sparkContext.broadcast(bloom(ask.select(F.col("rep").alias("id"))))
 
     def run(batches):
         acc = np.frombuffer(sent.value, np.uint8)
         for batch in slices(batches):
-            at = bloom_at(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
+            ids = batch.column("doc_id").fill_null(0)
+            at = bloom_at(ids.to_numpy(zero_copy_only=False))
             ok = ((acc[at >> 3] >> (at & 7).astype(np.uint8)) & 1).reshape(2, -1).all(0)
             if ok.any():
                 batch = batch.filter(pa.array(ok))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_hash(s) if len(s) else 0 for s in sets(batch)], pa.int64()), batch.column("text").cast(pa.string())], ["rep", "node", "text"])
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array([set_hash(s) if len(s) else 0 for s in sets(batch)], pa.int64()), batch.column("text").cast(pa.string())], ["rep", "node", "text"])
 
     near = docs.mapInArrow(run, "rep long, node long, text string")
     return near.join(ask, ["rep", "node"]).dropDuplicates(["rep", "node"]).select("node", "text")

@@ -58,6 +58,23 @@ def test_jaccard_edges(spark):
     assert kept.columns == d.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == [(0, "alone in null"), (4, "other"), (4, "same text here"), (7, "")]
 
 
+def test_jaccard_near_copies_without_doc_id(spark):
+    """Near copies with null doc_id, among them the middle of a chain; ids beyond 2**53 next to them."""
+    rng, big = random.Random(7), 2**53 + 1
+    w = words(rng, 100, 10**6).split()
+    chain = [" ".join(w[:k] + ["y"] * (k > 0) + w[k + 1 :]) for k in (0, 95)]
+    end = " ".join(w[:80] + ["z", "z"] + w[82:95] + ["y"] + w[96:])
+    other = words(rng, 100, 10**6)
+    texts = [chain[0], chain[1], end, other, other + " more", words(rng, 60, 10**6)]
+    sets = [shingles(t) for t in texts]
+    like = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert like(0, 1) and like(1, 2) and like(3, 4)
+    rows = [(big, texts[0]), (None, texts[1]), (big + 2, texts[2]), (None, texts[3]), (None, texts[4]), (0, texts[5])]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {(big, big), (None, big), (big + 2, big), (None, None), (0, 0)}
+    assert len(jaccard.one_of_each(documents(spark, rows)).collect()) == 3
+
+
 def test_pigeonhole_budget():
     """Similar sets share a signature, whatever their sizes; every set has the budget at some level."""
     rng = np.random.default_rng(1)
