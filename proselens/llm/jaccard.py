@@ -442,7 +442,7 @@ def components_of(d: DataFrame) -> DataFrame:
     for every in (False, True):
         more = written(apart(star, checked, root, sketch, every).join(checked, ["u", "v"], "left_anti"), "apart")
         if more.isEmpty():
-            break
+            continue  # the nearest may all have been checked before; the rest have not
         checked = checked.union(written(verified(d, nodes, more), "links"))
         root = components(checked.where("linked").select("u", "v"))
     label = nodes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))

@@ -75,6 +75,26 @@ def test_jaccard_near_copies_without_doc_id(spark):
     assert len(jaccard.one_of_each(documents(spark, rows)).collect()) == 3
 
 
+def test_jaccard_tests_the_rest_where_the_nearest_are_known(spark, monkeypatch):
+    """One star whose members fail against its centre but resemble each other, while the first pass offers nothing that is new."""
+    rng = random.Random(3)
+    w = words(rng, 300, 10**6).split()
+    texts = {}
+    for k in range(12):
+        texts[k * 7 % 12] = " ".join(w)
+        at = rng.randrange(0, 280)
+        w[at : at + 18] = words(rng, 18, 10**6).split()
+    apart, asked = jaccard.apart, []
+
+    def offered(star, checked, root, sketch, every):
+        asked.append(every)
+        return apart(star, checked, root, sketch, every).where(f"{every}")
+
+    monkeypatch.setattr(jaccard, "apart", offered)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(documents(spark, list(texts.items()))).collect()}
+    assert asked == [False, True] and got == clusters(texts)
+
+
 def test_pigeonhole_budget():
     """Similar sets share a signature, whatever their sizes; every set has the budget at some level."""
     rng = np.random.default_rng(1)
