@@ -7,7 +7,8 @@ every item piece lies wholly in one. Before the search proper, a bound that is a
 rest. What is left is searched with block-max WAND, which returns all items above the threshold. These are verified: the word n-grams of
 the item's question part and those of its answer part must both be found in the passage.
 
-The index is broadcast in shards of at most SHARD_ITEMS pieces of at most HALF words each, one pass over the documents for each shard.
+The index is broadcast in shards of at most SHARD_ITEMS pieces of at most HALF words each, one pass over the documents for each shard. Document
+frequencies and mean length are those of the whole benchmark, so that scores do not depend on the shards.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices
+from .common import pick, slices, written
 
 HALF = 64            # words between the starts of windows; a window has twice as many
 THRESHOLD = 0.5      # of the item's own score
@@ -40,24 +41,25 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def pieces_of(text: str | None) -> list[list[str]]:
+    """The words of an item in pieces of HALF at most."""
+    w = tokens(text or "")
+    n = max(1, math.ceil(len(w) / HALF))
+    return [piece for k in range(n) if (piece := w[len(w) * k // n : len(w) * (k + 1) // n])]
+
+
 class Index:
-    """Posting lists with block maxima over pieces (item_id, words, question words)."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        pieces = []
-        for item, text in items:
-            w = tokens(text or "")
-            n = max(1, math.ceil(len(w) / HALF))
-            for k in range(n):
-                if piece := w[len(w) * k // n : len(w) * (k + 1) // n]:
-                    pieces.append((item, piece))
+    """Posting lists with block maxima over pieces (item_id, words, question words). whole: document frequencies of these items' words, number and mean
+    length of pieces in the whole benchmark, if these items are a shard of it."""
+
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[dict[str, int], int, float] | None = None):
+        pieces = [(item, piece) for item, text in items for piece in pieces_of(text)]
         pieces.sort(key=lambda p: (len(p[1]), p[0]))  # pieces of like length share blocks, so block maxima are tight
         self.items = [i for i, _ in pieces]
         self.words = [p for _, p in pieces]
         self.question = [max(1, len(p) * 2 // 3) for p in self.words]
-        df = Counter(t for p in self.words for t in set(p))
-        mean = sum(map(len, self.words)) / max(1, len(self.words))
-        idf = {t: math.log(1 + (len(pieces) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        df, total, mean = whole or (Counter(t for p in self.words for t in set(p)), len(pieces), sum(map(len, self.words)) / max(1, len(self.words)))
+        idf = {t: math.log(1 + (total - n + 0.5) / (n + 0.5)) for t, n in df.items()}
         self.vocab = {t: k for k, t in enumerate(df)}
         self.docs: list[list[int]] = [[] for _ in self.vocab]
         self.impact: list[list[float]] = [[] for _ in self.vocab]
@@ -181,6 +183,27 @@ def matches(batch: pa.RecordBatch, index: Index):
                 yield r, index.items[d], score, q, a, first
 
 
+def statistics(b: DataFrame) -> tuple[DataFrame, int, float]:
+    """Of the whole benchmark b (text, shard): (shard, term, df) for the words of each shard, number of pieces, mean length."""
+    def run(batches):
+        for batch in batches:
+            found, n, length = Counter(), Counter(), Counter()
+            for shard, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist()):
+                for piece in pieces_of(text):
+                    found.update((shard, t) for t in set(piece))
+                    n[shard] += 1
+                    length[shard] += len(piece)
+            rows = [(s, t, c, 0) for (s, t), c in found.items()] + [(s, None, n[s], length[s]) for s in n]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.int64(), pa.int64()])], ["shard", "term", "n", "length"])
+
+    c = b.select(F.col("shard").cast("long").alias("shard"), "text").mapInArrow(run, "shard long, term string, n long, length long")
+    c = written(c.groupBy("shard", "term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")), "terms")
+    total, length = c.where("term is null").agg(F.sum("n"), F.sum("length")).first()
+    df = c.where("term is not null").groupBy("term").agg(F.sum("n").alias("df"))
+    return written(c.where("term is not null").select("shard", "term").join(df, "term"), "frequencies"), total or 0, (length or 0) / max(1, total or 0)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row for each document and item found in it: doc_id, item_id, score (of the best passage), question_overlap, answer_overlap, passage (its first word).
 
@@ -194,9 +217,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None =
     names = [c.split()[0] for c in schema.split(", ")]
     d = pick(docs, {"doc_id": "long", "text": "string"}) if keep is None else docs
     parts = []
+    of, total, mean = statistics(b) if shards > 1 else (None, 0, 0.0)  # one shard has them all
     for k in range(shards):
         items = sorted(((r["item_id"], r["text"]) for r in b.where(F.col("shard") == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))  # a shard: bounded
-        sent = spark.sparkContext.broadcast(Index(items))
+        whole = ({r["term"]: r["df"] for r in of.where(F.col("shard") == k).collect()}, total, mean) if shards > 1 else None  # words of a shard: bounded
+        sent = spark.sparkContext.broadcast(Index(items, whole))
 
         def found(batches, sent=sent):
             for batch in slices(batches):

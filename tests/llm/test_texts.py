@@ -218,3 +218,14 @@ def test_decontamination_in_shards(spark, monkeypatch):
     d = documents(spark, [(i, words(rng, 40, 5000) + " " + t) for i, t in items])
     got = decontam.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i, _ in items}
+
+
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, words(rng, rng.choice([9, 30, 150]), 300)) for i in range(12)] + [(50, None), (51, "")]
+    cut = [" ".join(w for w in t.split() if rng.random() > 0.15) for _, t in items[:12]]
+    d, b = documents(spark, [(i, words(rng, 40, 300) + " " + t) for i, t in enumerate(cut)]), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: {(r["doc_id"], r["item_id"]): (round(r["score"], 9), r["question_overlap"], r["passage"]) for r in decontam.contaminated(d, b).collect()}
+    whole = rows()
+    monkeypatch.setattr(decontam, "SHARD_ITEMS", 3)
+    assert rows() == whole and len(whole) >= 6
