@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -110,20 +111,63 @@ def byte_table(base: int) -> np.ndarray:
 _TABLES = {b: byte_table(b) for b in (BASE, BASE2)}
 
 
-def prefix_hash(data: np.ndarray, base: int = BASE) -> np.ndarray:
-    """c with c[j] - c[i] = base**i times a hash of data[i:j], for all i <= j."""
-    c = np.empty(len(data) + 1, np.uint64)
+def prefix_sums(values: np.ndarray, base: int = BASE) -> np.ndarray:
+    """c with c[j] - c[i] = base**i times a hash of values[i:j], for all i <= j."""
+    c = np.empty(len(values) + 1, np.uint64)
     c[0] = 0
-    np.cumsum(_TABLES[base][data] * powers(len(data), base)[0][: len(data)], out=c[1:])
+    np.cumsum(values * powers(len(values), base)[0][: len(values)], out=c[1:])
     return c
 
 
+def prefix_hash(data: np.ndarray, base: int = BASE) -> np.ndarray:
+    """prefix_sums() of bytes."""
+    return prefix_sums(_TABLES[base][data], base)
+
+
 def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
     """64-bit hashes of the byte ranges [start, end)."""
     h = (c[end] - c[start]) * powers(len(c), base)[1][start]
     return mix(h + (end - start).astype(np.uint64) * M1)
 
 
+# ---------------------------------------------------------------- filters
+
+BLOOM_BITS = 1 << 26  # fixed size of a filter of keys (8 MB); a full filter only costs time
+
+
+def bloom(ids: DataFrame) -> bytes:
+    """Bits of a filter of the column id: of fixed size, or'ed from blocks."""
+    block = 1 << 19
+
+    def bits(frames):
+        acc = np.zeros(BLOOM_BITS // 8, np.uint8)
+        for pdf in frames:
+            at = bloom_at(pdf["id"].to_numpy(np.int64))
+            np.bitwise_or.at(acc, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        for k in range(0, len(acc), block):
+            if acc[k : k + block].any():
+                yield pd.DataFrame({"k": [k], "bits": [acc[k : k + block].tobytes()]})
+
+    def either(key, pdf):
+        return pd.DataFrame({"k": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
+
+    acc = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for r in ids.mapInPandas(bits, "k int, bits binary").groupBy("k").applyInPandas(either, "k int, bits binary").collect():
+        acc[r["k"] : r["k"] + block] = np.frombuffer(r["bits"], np.uint8)
+    return acc.tobytes()
+
+
+def bloom_at(ids: np.ndarray) -> np.ndarray:
+    h = mix(ids.astype(np.uint64))
+    return np.concatenate([(h >> np.uint64(k)) & np.uint64(BLOOM_BITS - 1) for k in (0, 26)]).astype(np.int64)
+
+
+def bloom_has(bits: bytes, ids: np.ndarray) -> np.ndarray:
+    """Which ids pass the filter."""
+    at = bloom_at(ids)
+    return ((np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1).reshape(2, -1).all(0)
+
+
 # ---------------------------------------------------------------- Arrow
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

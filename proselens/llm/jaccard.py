@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, mix, pick, rolling, slices, trim, utf8, word_hashes, word_spans, written
+from .common import M1, bloom, bloom_has, mix, pick, rolling, slices, trim, utf8, word_hashes, word_spans, written
 from .graph import components
 
 WORDS = 5
@@ -35,7 +35,6 @@ PER_BUCKET = 500_000     # signatures in a bucket, about
 SIGMA = 5.0
 BANDS_IN_USE = 20         # about as many size bands hold nearly all sets
 LEAST_BITS = 512
-BLOOM_BITS = 1 << 26       # fixed size of the filter of texts to fetch (8 MB); a full filter only costs time
 
 
 # ---------------------------------------------------------------- sets
@@ -321,33 +320,6 @@ def apart(star: DataFrame, checked: DataFrame, root: DataFrame, nodes: DataFrame
 
 # ---------------------------------------------------------------- verification
 
-def bloom(ids: DataFrame) -> bytes:
-    """Bits of a filter of the column id: of fixed size, or'ed from blocks."""
-    block = 1 << 19
-
-    def bits(frames):
-        acc = np.zeros(BLOOM_BITS // 8, np.uint8)
-        for pdf in frames:
-            at = bloom_at(pdf["id"].to_numpy(np.int64))
-            np.bitwise_or.at(acc, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        for k in range(0, len(acc), block):
-            if acc[k : k + block].any():
-                yield pd.DataFrame({"k": [k], "bits": [acc[k : k + block].tobytes()]})
-
-    def either(key, pdf):
-        return pd.DataFrame({"k": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]]).tobytes()]})
-
-    acc = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for r in ids.mapInPandas(bits, "k int, bits binary").groupBy("k").applyInPandas(either, "k int, bits binary").collect():
-        acc[r["k"] : r["k"] + block] = np.frombuffer(r["bits"], np.uint8)
-    return acc.tobytes()
-
-
-def bloom_at(ids: np.ndarray) -> np.ndarray:
-    h = mix(ids.astype(np.uint64))
-    return np.concatenate([(h >> np.uint64(k)) & np.uint64(BLOOM_BITS - 1) for k in (0, 26)]).astype(np.int64)
-
-
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) for the wanted nodes: the text of each node's representative document. Only texts that pass a small filter are shuffled.
     A null doc_id counts as 0 here: the representative of a node whose rows all have none."""
@@ -356,11 +328,9 @@ def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(bloom(ask.select(F.col("rep").alias("id"))))
 
     def run(batches):
-        acc = np.frombuffer(sent.value, np.uint8)
         for batch in slices(batches):
             ids = batch.column("doc_id").fill_null(0)
-            at = bloom_at(ids.to_numpy(zero_copy_only=False))
-            ok = ((acc[at >> 3] >> (at & 7).astype(np.uint8)) & 1).reshape(2, -1).all(0)
+            ok = bloom_has(sent.value, ids.to_numpy(zero_copy_only=False))
             if ok.any():
                 batch = batch.filter(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array([set_hash(s) if len(s) else 0 for s in sets(batch)], pa.int64()), batch.column("text").cast(pa.string())], ["rep", "node", "text"])

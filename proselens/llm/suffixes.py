@@ -1,18 +1,21 @@
-"""Suffix-array dedup: bytes covered by strings of WINDOW bytes that start anywhere else are removed.
+"""Suffix-array dedup: symbols covered by strings of WINDOW symbols that start anywhere else are removed.
 
-A full suffix array of all positions would be hundreds of times the input when it is dealt out, as each suffix has to carry
-its WINDOW bytes. So the array is sparse: each window is owned by one of the positions in it that its content chooses (the
-least hash of 16 bytes among the first WINDOW - CORE + 1 positions, leftmost on ties), its anchor. Equal windows have anchors at
+Symbols are bytes or words. A full suffix array of all positions would be hundreds of times the input when it is dealt out, as each suffix has to
+carry its window. So the array is sparse: each window is owned by one of the positions in it that its content chooses (the
+least hash of a few symbols among the first window - core + 1 positions, leftmost on ties), its anchor. Equal windows have anchors at
 equal offsets, so only suffixes at anchors need to meet. An anchor's block is the text that its windows span.
 
-1. Texts are cut into blocks; only hashes travel: of the CORE bytes from the anchor, which all its windows hold, and of the whole block.
-   Blocks that occur twice are done: all their windows repeat. Blocks whose core nobody else has are done too.
+1. Texts are cut into blocks; only hashes travel: of the core symbols from the anchor, which all its windows hold, and of the whole block. Equal
+   blocks are one: their windows all repeat. A task settles those that it meets twice and sends on one of them, so that a block that stands in every
+   document is a row for each task's flush. Blocks whose core no different block has are settled too (least and greatest hash of a core's blocks, combined before the shuffle).
 2. What is left - at the edges of repeated passages - is fetched: suffixes at anchors with the text to their left. Sampled splitters
-   range-partition them by their leading bytes. Within a bucket, a multikey quicksort on 8-byte words sorts the suffixes, and
-   another the reversed texts to the left; lengths of common prefixes between neighbours, which cross the borders of the chunks that are
-   sorted at a time only between unequal cores, give the classes of suffixes that agree on a depth. A window repeats if another
-   window at the same offset has the same class on both sides. This compares bytes, not hashes.
-3. A core with more than HOT different blocks is not collected anywhere: its windows are dealt out by their own hashes.
+   range-partition them by their leading symbols. Within a bucket, a multikey quicksort on 8-byte words sorts the suffixes, and
+   another the reversed texts to the left; lengths of common prefixes between neighbours give the classes of suffixes that agree on a depth. A window
+   repeats if another window at the same offset has the same class on both sides. Splitters never part equal cores, nor do the chunks that are
+   sorted at a time, so that across either border common prefixes are shorter than a core.
+3. Cores with more than GROUP different blocks are parted before that: windows at offsets a to b hold the a symbols left of the anchor and
+   window - b right of it, so their blocks meet others that agree on these only. Halving the range of offsets goes on until a group has no more than
+   GROUP blocks, or one offset, where agreeing is being equal.
 
 Exact copies are settled by their whole text beforehand, and a task hands on one of them only.
 """
@@ -20,6 +23,7 @@ Exact copies are settled by their whole text beforehand, and a task hands on one
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,15 +31,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, partitions, pick, prefix_hash, slices, span_hash, utf8, written
+from .common import M1, bloom, bloom_has, discard, mix, partitions, pick, prefix_hash, prefix_sums, slices, span_hash, utf8, word_hashes, word_spans, written
 
-WINDOW = 400
-CORE = 200
-SEED = 16              # bytes hashed to choose anchors
-HOT = 20_000           # different blocks of one core that a bucket sorts
+
+@dataclass(frozen=True)
+class Unit:
+    """How texts become symbols: width in bytes, symbols in a window and in its core, symbols hashed to choose anchors."""
+
+    width: int
+    window: int
+    core: int
+    seed: int
+
+    @property
+    def most(self) -> int:
+        return self.window - self.core
+
+
+BYTES = Unit(1, 400, 200, 16)
+WORDS = Unit(4, 50, 25, 3)
+GROUP = 8192           # different blocks that are sorted as one group
 PIECE = 1 << 19        # bytes of text handled at a time
 CHUNK = 4096           # blocks sorted at a time, about
-PER_BUCKET = 500_000   # blocks of hashes in a bucket, about
+FLUSH = 500_000        # blocks kept before a task writes them out
+
+
+# ---------------------------------------------------------------- symbols
+
+def symbols(column, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, offsets of texts, prefix hashes): bytes, or 32 bits of the hash of each word in lower case."""
+    data, off = utf8(column)
+    if unit.width == 1:
+        return data, off, prefix_hash(data)
+    start, end, first = word_spans(data, off)
+    h = word_hashes(data, start, end) >> np.uint64(32)
+    return h.astype(np.uint32), first.astype(np.int64), prefix_sums(mix(h + M1))
+
+
+def n_symbols(text: np.ndarray, unit: Unit) -> int:
+    return len(text) if unit.width == 1 else len(word_spans(text, np.array([0, len(text)]))[0])
+
+
+def text_key(text: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(text.data, digest_size=8).digest(), "little", signed=True)
 
 
 # ---------------------------------------------------------------- anchors
@@ -48,45 +86,42 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(x) - w + 1], m[w - n : w - n + len(x) - w + 1]) if w > n else m[: len(x) - w + 1]
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, core: int = CORE):
-    """Arrays (row, anchor, first window, last window, core hash, block hash) of all blocks of the texts; positions count within the row's text."""
+def blocks(c: np.ndarray, offsets: np.ndarray, unit: Unit):
+    """Arrays (row, anchor, first window, last window, core hash, block hash) of all blocks of the texts with prefix hashes c; positions count within the row's text."""
     empty = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
-    if len(data) < window:
+    size = len(c) - 1
+    if size < unit.window:
         return empty
-    c = prefix_hash(data)
-    at = np.arange(len(data) - SEED + 1)
-    value = (span_hash(c, at, at + SEED) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
-    least = (sliding_min(value[: len(data) - core + 1], window - core + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = np.arange(size - unit.seed + 1)
+    value = (span_hash(c, at, at + unit.seed) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+    least = (sliding_min(value[: size - unit.core + 1], unit.most + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    ok = np.flatnonzero(row[: len(least)] == row[window - 1 : window - 1 + len(least)])
+    ok = np.flatnonzero(row[: len(least)] == row[unit.window - 1 : unit.window - 1 + len(least)])
     if not len(ok):
         return empty
     a, r = least[ok], row[ok]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (r[1:] != r[:-1])])
     last = np.r_[first[1:], len(ok)] - 1
     lo, hi, a, r = ok[first], ok[last], a[first], r[first]
-    h1 = span_hash(c, a, a + core)
-    h2 = span_hash(c, lo, hi + window) ^ ((a - lo).astype(np.uint64) * M1)
+    h1 = span_hash(c, a, a + unit.core)
+    h2 = span_hash(c, lo, hi + unit.window) ^ mix((a - lo).astype(np.uint64) * M1)
     base = offsets[r]
     return r, a - base, lo - base, hi - base, h1, h2
 
 
-def text_key(text: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(text.data, digest_size=8).digest(), "little", signed=True)
-
-
-def pieces(data: np.ndarray, offsets: np.ndarray):
-    """(data, offsets, where the piece starts), with long texts cut so that each window lies in exactly one piece."""
-    if len(offsets) > 2 or len(data) <= 2 * PIECE:
-        yield data, offsets, 0
+def pieces(batch, unit: Unit):
+    """(prefix hashes, offsets, where the piece starts) of a batch's texts; a long text's pieces are such that each window lies in exactly one."""
+    data, off, c = symbols(batch.column("text"), unit)
+    if len(off) > 2 or len(data) <= 2 * PIECE:
+        yield c, off, 0
         return
-    for x in range(0, len(data) - WINDOW + 1, PIECE):
-        part = data[x : x + PIECE + WINDOW - 1]
-        yield part, np.array([0, len(part)]), x
+    for x in range(0, len(data) - unit.window + 1, PIECE):
+        part = data[x : x + PIECE + unit.window - 1]
+        yield (prefix_hash(part) if unit.width == 1 else prefix_sums(mix(part.astype(np.uint64) + M1))), np.array([0, len(part)]), x
 
 
 def texts(batches):
-    """(batch, data, offsets, keys) with empty texts for those that came before in this task."""
+    """(batch, data, offsets, keys, fresh): fresh tells the texts that did not come before in this task."""
     seen: set[tuple[int, int]] = set()
     for batch in slices(batches, PIECE):
         data, off = utf8(batch.column("text"))
@@ -99,28 +134,42 @@ def texts(batches):
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, k and n (key and bytes of the text), sha256 of the text."""
+    """doc_id, k and n (key and bytes of the text), its words, its sha256."""
     def run(batches):
         for batch in slices(batches):
             data, off = utf8(batch.column("text"))
             parts = [data[off[i] : off[i + 1]] for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([text_key(p) for p in parts], pa.int64()), pa.array(np.diff(off)), pa.array([hashlib.sha256(p.data).hexdigest() for p in parts])], ["doc_id", "k", "n", "sha"])
+            _, _, first = word_spans(data, off)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([text_key(p) for p in parts], pa.int64()), pa.array(np.diff(off)), pa.array(np.diff(first).astype(np.int64)),
+                                              pa.array([hashlib.sha256(p.data).hexdigest() for p in parts])], ["doc_id", "k", "n", "words", "sha"])
 
-    return docs.mapInArrow(run, "doc_id long, k long, n long, sha string")
+    return docs.mapInArrow(run, "doc_id long, k long, n long, words long, sha string")
 
 
-PACK = np.dtype([("h1", "u8"), ("h2", "u8"), ("a", "i8"), ("lo", "i4"), ("hi", "i4")])  # lo, hi: from the anchor back, and on
+# h1, h2: hashes of core and block; a: anchor; lo, hi: from it back to the first window, and on to the last; m: how often, 2 for more than once, 0 where it is settled
+PACK = np.dtype([("h1", "u8"), ("h2", "u8"), ("a", "i8"), ("lo", "i4"), ("hi", "i4"), ("m", "i4")])
 
 
-def anchored(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed blocks by bucket of the core's hash: bucket, packed (PACK), owners (k, n of each text), runs (blocks of each owner)."""
+def anchored(docs: DataFrame, buckets: int, unit: Unit) -> DataFrame:
+    """Packed blocks by bucket of the block's hash: bucket, packed (PACK), owners (k, n of each text), runs (blocks of each owner)."""
     def run(batches):
-        held, size = [], 0
+        held, size, turn = [], 0, 0
 
         def flush():
             arr = np.concatenate([x[0] for x in held])
             own = np.repeat(np.array([x[1:] for x in held], np.int64), [len(x[0]) for x in held], axis=0)
-            b = ((arr["h1"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            _, inv, times = np.unique(arr["h2"] ^ mix(arr["h1"]), return_inverse=True, return_counts=True)
+            again = times[inv] > 1
+            whose = np.zeros(len(times), np.int64)
+            whose[inv] = np.arange(len(arr))
+            one = np.flatnonzero(times > 1)
+            arr["m"] = np.where(again, 0, 1)
+            more = arr[whose[one]].copy()  # one of each stands for all
+            more["m"] = 2
+            b = ((mix(arr["h2"]) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            b[again] = (turn + np.arange(again.sum()) * buckets // max(1, again.sum())) % buckets  # what is settled goes anywhere, evenly
+            arr, own = np.concatenate([arr, more]), np.concatenate([own, own[whose[one]]])
+            b = np.r_[b, ((mix(more["h2"]) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)]
             order = np.argsort(b, kind="stable")
             arr, own, b = arr[order], own[order], b[order]
             cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
@@ -131,9 +180,9 @@ def anchored(docs: DataFrame, buckets: int) -> DataFrame:
                 rows.append((int(b[x]), arr[x:y].tobytes(), o[f].tobytes(), np.diff(np.r_[f, len(o)]).astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "packed", "owners", "runs"])
 
-        for batch, data, off, keys, fresh in texts(batches):
-            for part, poff, start in pieces(data, off):
-                r, a, lo, hi, h1, h2 = blocks(part, poff)
+        for batch, _, off, keys, fresh in texts(batches):
+            for c, poff, start in pieces(batch, unit):
+                r, a, lo, hi, h1, h2 = blocks(c, poff, unit)
                 arr = np.empty(len(r), PACK)
                 arr["h1"], arr["h2"], arr["a"], arr["lo"], arr["hi"] = h1, h2, a + start, a - lo, hi - a
                 edge = np.searchsorted(r, np.arange(batch.num_rows + 1))
@@ -141,43 +190,44 @@ def anchored(docs: DataFrame, buckets: int) -> DataFrame:
                     if fresh[i] and edge[i] < edge[i + 1]:
                         held.append((arr[edge[i] : edge[i + 1]], keys[i], int(off[i + 1] - off[i])))
                         size += edge[i + 1] - edge[i]
-                if size > 500_000:
+                if size > FLUSH:
                     yield flush()
-                    held, size = [], 0
+                    held, size, turn = [], 0, turn + 1
         if held:
             yield flush()
 
     return docs.mapInArrow(run, "bucket int, packed binary, owners binary, runs binary")
 
 
-DECISION = "k long, n long, kind int, a long, lo int, hi int, h1 long"  # kind 0: all windows of the block repeat; 1: compare; 2: compare, its core is hot; 3, 4: as 1 and 2, only for others to compare with
+DECISION = "k long, n long, kind int, a long, lo int, hi int, h1 long, h2 long"  # kind 0: all windows of the block repeat; 1: compare; 3: as 1, only for others to compare with
 
 
 def decided(packed: DataFrame) -> DataFrame:
+    """Of blocks that occur more than once, all (kind 0) and one of each (kind 3); and the others (kind 1)."""
     def run(key, pdf):
         arr = np.concatenate([np.frombuffer(x, PACK) for x in pdf["packed"]])
         own = np.concatenate([np.repeat(np.frombuffer(o, np.int64).reshape(-1, 2), np.frombuffer(r, np.uint32), axis=0) for o, r in zip(pdf["owners"], pdf["runs"])])
-        order = np.lexsort((arr["h2"], arr["h1"]))
+        order = np.lexsort((arr["m"] == 0, arr["h1"], arr["h2"]))
         arr, own = arr[order], own[order]
-        new1 = np.r_[True, arr["h1"][1:] != arr["h1"][:-1]]
-        new2 = new1 | np.r_[True, arr["h2"][1:] != arr["h2"][:-1]]
-        g1, g2 = np.cumsum(new1) - 1, np.cumsum(new2) - 1
-        times = np.bincount(g2)[g2]
-        different = np.bincount(g1[new2])[g1]
-        hot = different > HOT
-        kind = np.full(len(arr), -1)
-        kind[times > 1] = 0
-        ask = new2 & (different > 1)
-        # a core of which all blocks are settled needs no comparison
-        open_ = np.bincount(g1, weights=(times == 1))[g1] > 0
-        out = [np.flatnonzero(kind == 0), np.flatnonzero(ask & open_ & (times == 1)), np.flatnonzero(ask & open_ & (times > 1))]
-        kinds = [np.zeros(len(out[0]), int), np.where(hot[out[1]], 2, 1), np.where(hot[out[2]], 4, 3)]
-        at, kind = np.concatenate(out), np.concatenate(kinds)
-        return pd.DataFrame({"k": own[at, 0], "n": own[at, 1], "kind": kind, "a": arr["a"][at], "lo": arr["lo"][at], "hi": arr["hi"][at], "h1": arr["h1"][at].astype(np.int64)})
+        settled = arr["m"] == 0
+        new = np.r_[True, (arr["h1"][1:] != arr["h1"][:-1]) | (arr["h2"][1:] != arr["h2"][:-1]) | (settled[1:] != settled[:-1])]
+        g = np.cumsum(new) - 1
+        times = np.bincount(g, weights=arr["m"])[g]
+        twice = settled | (times > 1)
+        out = [np.flatnonzero(twice & (arr["m"] < 2)), np.flatnonzero(new & ~settled)]
+        at, kind = np.concatenate(out), np.concatenate([np.zeros(len(out[0]), int), np.where(twice[out[1]], 3, 1)])
+        return pd.DataFrame({"k": own[at, 0], "n": own[at, 1], "kind": kind, "a": arr["a"][at], "lo": arr["lo"][at], "hi": arr["hi"][at], "h1": arr["h1"][at].astype(np.int64), "h2": arr["h2"][at].astype(np.int64)})
 
     return packed.groupBy("bucket").applyInPandas(run, DECISION)
 
 
+def asked(dec: DataFrame) -> DataFrame:
+    """The blocks whose core a different block has, where not all of these are settled."""
+    u = dec.where("kind > 0")
+    cores = u.groupBy("h1").agg(F.min("h2").alias("x"), F.max("h2").alias("y"), F.min("kind").alias("open")).where("x <> y and open = 1").select("h1")
+    return u.join(cores, "h1", "left_semi").drop("h2")
+
+
 # ---------------------------------------------------------------- sorting suffixes
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -227,13 +277,13 @@ def as_words(rows: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(buf, ">u8").reshape(len(rows), width // 8).astype(np.uint64)
 
 
-def repeated(left: list[bytes], right: list[bytes], lo: np.ndarray, hi: np.ndarray, twice: np.ndarray) -> np.ndarray:
-    """(block, offset) matrix: the window that starts offset bytes before the block's anchor repeats. left: reversed bytes before the anchor; right: bytes
-    from it. Offsets -hi..lo belong to a block, hi <= 0 counting windows that start at the anchor as offset 0. twice: the block occurs more than once."""
-    n, most = len(left), WINDOW - CORE
+def repeated(left: list[bytes], right: list[bytes], lo: np.ndarray, hi: np.ndarray, unit: Unit = BYTES) -> np.ndarray:
+    """(block, offset) matrix: the window that starts offset symbols before the block's anchor repeats. left: reversed symbols before the anchor; right: those
+    from it, big-endian. Offsets -hi..lo belong to a block, hi <= 0 counting windows that start at the anchor as offset 0."""
+    n, most = len(left), unit.most
     out = np.zeros((n, most + 1), bool)
     sides = []
-    for rows, width in ((left, most), (right, WINDOW)):
+    for rows, width in ((left, most * unit.width), (right, unit.window * unit.width)):
         w = as_words(rows, -(-width // 8) * 8)
         order = multikey_quicksort(w)
         sides.append((order, common_prefixes(w, order)))
@@ -242,27 +292,41 @@ def repeated(left: list[bytes], right: list[bytes], lo: np.ndarray, hi: np.ndarr
         own = np.flatnonzero((lo >= r) & (-hi <= r))
         if len(own) < 2:
             continue
-        for c, (order, lcp), depth in zip(cls, sides, (r, WINDOW - r)):
-            c[order] = np.cumsum(lcp < depth)
+        for c, (order, lcp), depth in zip(cls, sides, (r, unit.window - r)):
+            c[order] = np.cumsum(lcp < depth * unit.width)
         key = cls[0][own] * (n + 1) + cls[1][own]
         _, inv, count = np.unique(key, return_inverse=True, return_counts=True)
         out[own, r] = count[inv] > 1
     return out
 
 
+def wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """k, n, text of docs' texts whose k is among ids (id), and few others: those that a filter of fixed size lets pass. In a task each text once."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom(ids))
+
+    def run(batches):
+        for batch, data, off, keys, fresh in texts(batches):
+            k = np.array(keys, np.int64)
+            ok = np.array(fresh) & bloom_has(sent.value, k)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.diff(off)), batch.column("text").cast(pa.string())], ["k", "n", "text"]).filter(pa.array(ok))
+
+    return docs.mapInArrow(run, "k long, n long, text string")
+
+
 BLOCK_ROWS = "lead binary, h1 long, k long, n long, a long, lo int, hi int, kind int, left binary, right binary"
 
 
-def fetched(docs: DataFrame, ask: DataFrame) -> DataFrame:
-    """The blocks asked for, with their bytes. Texts meet the list of their own blocks, which is no longer than they are."""
+def fetched(docs: DataFrame, ask: DataFrame, unit: Unit) -> DataFrame:
+    """The blocks asked for, with their symbols. Texts meet the list of their own blocks, which is no longer than they are."""
     lists = ask.groupBy("k", "n").agg(F.collect_list(F.struct("a", "lo", "hi", "h1", "kind")).alias("blocks"))
-    both = keyed(docs).join(lists, ["k", "n"])
+    both = wanted(docs, ask.select(F.col("k").alias("id"))).join(lists, ["k", "n"])
 
     def run(batches):
         done = set()
         for batch in slices(batches, PIECE):
-            data, off = utf8(batch.column("text"))
-            raw = data.tobytes()
+            data, off, _ = symbols(batch.column("text"), unit)
+            raw = data if unit.width == 1 else data.astype(">u4")
             rows = []
             for i, (k, n, bl) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "n", "blocks")))):
                 if (k, n) in done:  # another task's copy of the same text
@@ -270,9 +334,9 @@ def fetched(docs: DataFrame, ask: DataFrame) -> DataFrame:
                 done.add((k, n))
                 for b in bl:
                     a, lo, hi = off[i] + b["a"], b["lo"], b["hi"]
-                    left = raw[a - lo : a][::-1]
-                    right = raw[a : a + hi + WINDOW]
-                    rows.append((right[:8], b["h1"], k, n, b["a"], lo, hi, b["kind"], left, right))
+                    left = raw[a - lo : a][::-1].tobytes()
+                    right = raw[a : a + hi + unit.window].tobytes()
+                    rows.append((right[:16], b["h1"], k, n, b["a"], lo, hi, b["kind"], left, right))
             if rows:
                 types = [pa.binary()] + [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in BLOCK_ROWS.split(", ")])
@@ -280,39 +344,67 @@ def fetched(docs: DataFrame, ask: DataFrame) -> DataFrame:
     return both.select("k", "n", "text", "blocks").mapInArrow(run, BLOCK_ROWS)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch, data, off, keys, fresh in texts(batches):
-            ok = np.array(fresh) & (np.diff(off) >= WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.diff(off)), batch.column("text").cast(pa.string())], ["k", "n", "text"]).filter(pa.array(ok))
-
-    return docs.mapInArrow(run, "k long, n long, text string")
-
-
 SPANS = "k long, n long, start long, stop long"
 
 
-def runs_of(flags: np.ndarray, a: np.ndarray, k, n):
-    """Byte ranges covered by the flagged windows (block, offset)."""
+def runs_of(flags: np.ndarray, a: np.ndarray, k, n, unit: Unit):
+    """Ranges of symbols covered by the flagged windows (block, offset)."""
     f = flags[:, ::-1].astype(np.int8)  # by rising start
     d = np.diff(np.pad(f, ((0, 0), (1, 1))), axis=1)
     i, s = np.nonzero(d == 1)
     _, e = np.nonzero(d == -1)
     most = flags.shape[1] - 1
-    return pd.DataFrame({"k": k[i], "n": n[i], "start": a[i] - most + s, "stop": a[i] - most + e - 1 + WINDOW})
+    return pd.DataFrame({"k": k[i], "n": n[i], "start": a[i] - most + s, "stop": a[i] - most + e - 1 + unit.window})
 
 
-def compared(rows: DataFrame, buckets: int) -> DataFrame:
-    """Ranges of repeated windows among blocks. Splitters are sampled from the leading bytes; equal cores, which have equal leading bytes, never part."""
+def parted(rows: DataFrame, unit: Unit, group: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows whose groups - column h1 - have at most group rows, spans of windows that are equal as their groups have one offset).
+
+    A row is in a group for a range of offsets (columns from, to). A group that is too large is parted in two halves of the range, whose rows agree on more."""
+    names = [c.split()[0] for c in BLOCK_ROWS.split(", ")]
+    rows = rows.select(*names, F.lit(0).alias("from"), F.lit(unit.most).alias("to"))
+    small, spans = None, []
+    while True:
+        large = written(rows.groupBy("h1").count().where(F.col("count") > group).select("h1"), "large")
+        if large.isEmpty():
+            return (rows if small is None else small.unionByName(rows)), spans
+        fits = rows.join(large, "h1", "left_anti")
+        small = fits if small is None else small.unionByName(fits)
+
+        def halves(batches):
+            for batch in batches:
+                out = []
+                for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                    lead, _, k, n, a, lo, hi, kind, left, right, x, y = row
+                    mid = (x + y) // 2
+                    for s, e in ((x, mid), (mid + 1, y)):
+                        if lo >= s and -hi <= e:  # the block owns windows at these offsets
+                            s_, e_ = max(s, -hi), min(e, lo)
+                            agree = b"%d %d %d " % (s, e, row[1]) + left[: s * unit.width] + b" " + right[: (unit.window - e) * unit.width]
+                            if s_ <= e_:
+                                digest = hashlib.blake2b(agree, digest_size=24).digest()
+                                out.append((lead, int.from_bytes(digest[:8], "little", signed=True), k, n, a, lo, hi, kind, left, right, s, e, digest[8:]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), [*batch.schema, pa.field("digest", pa.binary())])], [*batch.schema.names, "digest"])
+
+        schema = BLOCK_ROWS + ", `from` int, `to` int"
+        both = written(rows.join(large, "h1", "left_semi").select(*names, "from", "to").mapInArrow(halves, schema + ", digest binary"), "halves", "lz4")
+        equal = both.where("`from` = `to`").groupBy("h1", "digest").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h1", "digest")
+        one = both.where("`from` = `to` and kind < 3").join(equal, ["h1", "digest"], "left_semi")
+        spans.append(one.select("k", "n", (F.col("a") - F.col("from")).alias("start"), (F.col("a") - F.col("from") + unit.window).alias("stop")))
+        rows = both.where("`from` < `to`").drop("digest")
+
+
+def compared(rows: DataFrame, buckets: int, unit: Unit) -> DataFrame:
+    """Ranges of repeated windows among blocks. Splitters are sampled from the leading symbols; equal groups, which have equal leading symbols, never part."""
     dealt = rows.repartitionByRange(buckets, "lead", "h1").sortWithinPartitions("lead", "h1")
 
     def solve(t: pa.Table):
-        cols = {c: t.column(c) for c in ("k", "n", "a", "lo", "hi", "kind")}
-        k, n, a, lo, hi, kind = (x.to_numpy().astype(np.int64) for x in cols.values())
+        k, n, a, lo, hi, kind, x, y = (t.column(c).to_numpy().astype(np.int64) for c in ("k", "n", "a", "lo", "hi", "kind", "from", "to"))
         left, right = t.column("left").to_pylist(), t.column("right").to_pylist()
-        flags = repeated(left, right, lo, hi, kind >= 3)
+        flags = repeated(left, right, np.minimum(lo, y), np.minimum(hi, -x), unit)
         flags[kind >= 3] = False
-        return pa.RecordBatch.from_pandas(runs_of(flags, a, k, n), preserve_index=False)
+        return pa.RecordBatch.from_pandas(runs_of(flags, a, k, n, unit), preserve_index=False)
 
     def run(batches):
         held, size = [], 0
@@ -325,7 +417,7 @@ def compared(rows: DataFrame, buckets: int) -> DataFrame:
                 t = pa.Table.from_batches(held).combine_chunks()
                 h = t.column("h1").to_numpy()
                 cut = np.flatnonzero(h[1:] != h[:-1]) + 1
-                if len(cut):  # whole cores only; the last one may go on
+                if len(cut):  # whole groups only; the last one may go on
                     yield solve(t.slice(0, cut[-1]))
                     t = t.slice(cut[-1])
                 held, size = t.combine_chunks().to_batches(), t.num_rows
@@ -335,57 +427,53 @@ def compared(rows: DataFrame, buckets: int) -> DataFrame:
     return dealt.mapInArrow(run, SPANS)
 
 
-def compared_hot(rows: DataFrame, buckets: int) -> DataFrame:
-    """The same for hot cores: windows meet by their own hashes, packed by bucket; no group of blocks is collected."""
-    def hashes(batches):
-        for batch in batches:
-            sig, ref, who = [], [], []
-            for left, right, k, n, a, lo, kind in zip(*(batch.column(c).to_pylist() for c in ("left", "right", "k", "n", "a", "lo", "kind"))):
-                block = np.frombuffer(left[::-1] + right, np.uint8)
-                s = np.arange(len(block) - WINDOW + 1)
-                sig.append(span_hash(prefix_hash(block), s, s + WINDOW))
-                ref.append(a - lo + s)
-                who.append(np.tile(np.array([k, n, kind >= 3], np.int64), (len(s), 1)))
-            if not sig:
-                continue
-            sig, ref, who = np.concatenate(sig), np.concatenate(ref), np.concatenate(who)
-            b = ((sig >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(b, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(b[order]) > 0])
-            parts = [order[x:y] for x, y in zip(cut, np.r_[cut[1:], len(order)])]
-            yield pa.RecordBatch.from_arrays([pa.array([int(b[p[0]]) for p in parts], pa.int32()), *(pa.array([v[p].tobytes() for p in parts], pa.binary()) for v in (sig, ref, who))], ["bucket", "sig", "ref", "who"])
+# ---------------------------------------------------------------- the operator
+
+def repeats(docs: DataFrame, unit: Unit, group: int = GROUP) -> DataFrame:
+    """k, n, spans of every text that is no exact copy of another and holds windows that start elsewhere too: ranges (start, stop) of symbols, which may overlap."""
+    buckets = partitions(docs.sparkSession)
+    dec = written(decided(anchored(docs, buckets, unit)), "blocks")
+    ask = written(asked(dec), "asked")
+    rows = written(fetched(docs, ask, unit), "suffixes", "lz4")
+    sizes, spans = parted(rows, unit, group)
+    found = compared(sizes, buckets, unit)
+    for s in spans:
+        found = found.union(s)
+    found = found.union(dec.where("kind = 0").select("k", "n", (F.col("a") - F.col("lo")).alias("start"), (F.col("a") + F.col("hi") + unit.window).alias("stop")))
+    # ranges of a text are no more than its blocks and windows
+    out = written(found.groupBy("k", "n").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    for used in (dec, ask, rows):
+        discard(used)
+    return out
 
-    def meet(key, pdf):
-        sig = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["sig"]])
-        ref = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ref"]])
-        who = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in pdf["who"]])
-        _, inv, count = np.unique(sig, return_inverse=True, return_counts=True)
-        ok = (count[inv] > 1) & (who[:, 2] == 0)
-        return pd.DataFrame({"k": who[ok, 0], "n": who[ok, 1], "start": ref[ok], "stop": ref[ok] + WINDOW})
 
-    return rows.mapInArrow(hashes, "bucket int, sig binary, ref binary, who binary").groupBy("bucket").applyInPandas(meet, SPANS)
+def covered(spans: DataFrame, copies: DataFrame) -> DataFrame:
+    """k, n, symbols that the spans cover, of texts that are no copies."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for sp in batch.column("spans").to_pylist():
+                total, end = 0, 0
+                for s, e in sorted((x["start"], x["stop"]) for x in sp):
+                    total += max(0, e - max(s, end))
+                    end = max(end, e)
+                out.append(total)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n"), pa.array(out, pa.int64())], ["k", "n", "covered"])
 
+    return spans.join(copies, ["k", "n"], "left_anti").mapInArrow(run, "k long, n long, covered long")
 
-# ---------------------------------------------------------------- the operator
 
-def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text).
+def removed(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words of every row of docs (doc_id, text).
 
-    Null text counts as empty. Texts shorter than WINDOW lose nothing; texts that have an exact copy and are not shorter lose
+    n_removed counts bytes in strings of 400 bytes that start elsewhere too; n_repeated_words counts words, whatever their case and the space between them, in strings of 50
+    words that do. Null text counts as empty. Texts shorter than a window lose nothing; texts that have an exact copy and are not shorter lose
     everything. Rows may repeat a doc_id. Extra columns are ignored."""
-    spark = docs.sparkSession
     d = pick(docs, {"doc_id": "long", "text": "string"})
     meta = written(metadata(d), "texts")
-    total = meta.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions(spark), int(total / 100 / PER_BUCKET) + 1)
-    copies = meta.groupBy("k", "n").count().where("count > 1").select("k", "n")
-    dec = written(decided(anchored(d, buckets)), "blocks")
-    ask = dec.where("kind > 0")
-    rows = written(fetched(d, ask), "suffixes", "lz4")
-    found = compared(rows.where("kind in (1, 3)"), buckets).union(compared_hot(rows.where("kind in (2, 4)"), buckets))
-    whole = dec.where("kind = 0").select("k", "n", (F.col("a") - F.col("lo")).alias("start"), (F.col("a") + F.col("hi") + WINDOW).alias("stop"))
-    spans = whole.union(found).join(copies, ["k", "n"], "left_anti")
-    lists = spans.groupBy("k", "n").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # no longer than the text
+    copies = meta.groupBy("k", "n").agg(F.count(F.lit(1)).alias("c"), F.max("words").alias("words")).where("c > 1").drop("c")
+    keys = copies.select("k", "n")
+    lists = repeats(d, BYTES, group).join(keys, ["k", "n"], "left_anti")
 
     def cut(batches):
         for batch in slices(batches, PIECE):
@@ -400,11 +488,14 @@ def removed(docs: DataFrame) -> DataFrame:
                 out.append((int(gone.sum()), int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum()), hashlib.sha256(data[off[i] : off[i + 1]][~gone].tobytes()).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n"), *(pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string())))], ["k", "n", "n_removed", "n_spans", "kept"])
 
-    done = keyed(d).join(lists, ["k", "n"]).select("k", "n", "text", "spans").mapInArrow(cut, "k long, n long, n_removed long, n_spans long, kept string").dropDuplicates(["k", "n"])
+    both = wanted(d, lists.select(F.col("k").alias("id"))).join(lists, ["k", "n"]).select("k", "n", "text", "spans")
+    done = written(both.mapInArrow(cut, "k long, n long, n_removed long, n_spans long, kept string").dropDuplicates(["k", "n"]), "cut")
     empty = hashlib.sha256(b"").hexdigest()
-    all_ = copies.where(F.col("n") >= WINDOW).select("k", "n", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept"))
-    out = meta.join(done.union(all_), ["k", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
+    all_ = copies.where(F.col("n") >= BYTES.window).select("k", "n", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept"))
+    words = covered(repeats(d, WORDS, group), keys).union(copies.where(F.col("words") >= WORDS.window).select("k", "n", F.col("words").alias("covered")))
+    out = meta.join(done.union(all_), ["k", "n"], "left").join(words, ["k", "n"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return out.select("doc_id", F.col("n").alias("n_bytes"), zero("n_removed").alias("n_removed"), zero("n_spans").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), zero("covered").alias("n_repeated_words"))
 
 
 def query(spark, sf_dir):

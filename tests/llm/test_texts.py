@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -118,7 +119,7 @@ def test_pigeonhole_budget():
 
 def brute_removed(texts):
     raw = {i: (t or "").encode() for i, t in texts}
-    n = suffixes.WINDOW
+    n = suffixes.BYTES.window
     count = Counter(b[k : k + n] for b in raw.values() for k in range(len(b) - n + 1))
     out = {}
     for i, b in raw.items():
@@ -140,13 +141,25 @@ def repeats(seed=1):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("hot", [1, 20_000])
-def test_suffixes(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffixes, "HOT", hot)
-    rows = repeats(hot % 7)
-    want = brute_removed(rows)
-    got = suffixes.removed(documents(spark, rows).repartition(3)).collect()
+def brute_words(rows, n=50):
+    w = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows}
+    count = Counter(tuple(x[k : k + n]) for x in w.values() for k in range(len(x) - n + 1))
+    return {i: len({j for k in range(len(x) - n + 1) if count[tuple(x[k : k + n])] > 1 for j in range(k, k + n)}) for i, x in w.items()}
+
+
+@pytest.mark.parametrize("group", [1, 3, 8192])
+def test_suffixes(spark, group):
+    rows = repeats(group % 7)
+    rows += [(1000 + i, t.upper().replace(" ", "\t\n")) for i, t in rows[:3]]
+    rng = random.Random(4)
+    licence = words(rng, 52)  # of over 50 words, but not of 400 bytes
+    rows += [(2000 + i, words(rng, rng.randrange(60)) + " " + licence + " " + words(rng, rng.randrange(60))) for i in range(12)]
+    assert len(licence) < 400
+    want, more = brute_removed(rows), brute_words(rows)
+    got = suffixes.removed(documents(spark, rows).repartition(3), group).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    assert {r["doc_id"]: r["n_repeated_words"] for r in got} == more
+    assert all(more[2000 + i] >= 52 for i in range(12))
 
 
 def test_suffixes_long_text_and_empty(spark, monkeypatch):
