@@ -256,3 +256,10 @@ def pick(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+
+def row_key(df: DataFrame):
+    """128 bits that tell rows apart by all their columns, nulls by where they stand."""
+    from pyspark.sql import functions as F
+
+    return F.unhex(F.substring(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256), 1, 32))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, bloom, bloom_has, mix, pick, rolling, slices, trim, utf8, word_hashes, word_spans, written
+from .common import M1, bloom, bloom_has, mix, pick, rolling, row_key, slices, trim, utf8, word_hashes, word_spans, written
 from .graph import components
 
 WORDS = 5
@@ -182,7 +182,7 @@ def survey(docs: DataFrame) -> DataFrame:
                 bits.append(parity(s) if fresh else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(levels, pa.list_(pa.int32()))], ["doc_id", "row", "n_shingles", "node", "bits", "levels"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, bits binary, levels array<int>")
+    return docs.mapInArrow(run, "doc_id long, row binary, n_shingles long, node long, bits binary, levels array<int>")
 
 
 FLUSH = 750_000  # signatures kept before a task writes them out
@@ -381,14 +381,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows with null or wordless text have n_shingles 0 and are components of their own. Rows with equal sets are linked. A row with null doc_id
     takes part; component_id is the smallest non-null doc_id of its component, null if there is none. Extra columns are ignored."""
-    d = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("row", F.lit(0).cast("long"))
+    d = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("row", F.lit(b""))
     return components_of(d).select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component of docs, that with the smallest doc_id (null last); wordless rows stay. Of rows that are equal in all columns one stays."""
-    row = F.xxhash64(*docs.columns)
-    d = docs.withColumn("row", row)
+    d = docs.withColumn("row", row_key(docs))
     kept = components_of(d.select("doc_id", "text", "row")).where("row = least.row").select("row").distinct()
     return d.join(kept, "row").dropDuplicates(["row"]).select(*docs.columns)
 

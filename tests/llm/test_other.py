@@ -166,22 +166,58 @@ def brute_permute(x, n, key):
     return x
 
 
-def test_draws_by_brute_force(spark):
+@pytest.mark.parametrize("shard", [8, 1024])
+def test_draws_by_brute_force(spark, shard):
     """Slots, blocks and shares of documents, recomputed one by one."""
-    sizes = [40, 64, 7, 129, 300, 1]
-    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", s) for i, s in enumerate(sizes)], "doc_id long, source string, size long")
-    d, t = mixing.draw(docs)
-    src = {r["source"]: r for r in t.collect()}
-    n = sum(r["slots"] for r in src.values())
-    times = Counter()
+    sizes = [40, 64, 7, 129, 300, 1, 5000, 64, 900]
+    docs = spark.createDataFrame([(i if i else None, "abc"[i % 3], s, f"t{i}") for i, s in enumerate(sizes)], "doc_id long, source string, size long, tie string")
+    t, sources, n = mixing.plan(docs)
+    src = {r["ord"]: r for r in t.collect()}
+    a, b, c = mixing.ROUND[0]
+    counts, line = Counter(), []
     for slot in range(n):
-        at = brute_permute(slot, n, n % mixing.P)
-        r = max((r for r in src.values() if r["slots"] and r["from_slot"] <= at), key=lambda r: r["from_slot"])
-        j = at - r["from_slot"]
-        times[r["source"], brute_permute(j % r["blocks"], r["blocks"], r["ord"] * 8 + j // r["blocks"] + 1)] += 1
-    assert all(sum(v for (s, _), v in times.items() if s == name) == r["slots"] for name, r in src.items())
-    want = {r["doc_id"]: sum(times[r["source"], w // mixing.BLOCK] for w in range(r["_from"], r["_from"] + r["size"])) for r in d.collect()}
-    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()} == want
+        x = (slot % mixing.P * a + b + (slot >> 31)) % mixing.P
+        for k in (c, a):
+            x = (x * x + k) % mixing.P
+        mine = next(o for o, r in src.items() if r["slots"] and r["from_slot"] / n <= x / mixing.P < (r["from_slot"] + r["slots"]) / n)
+        counts[slot // shard, mine] += 1
+    assert counts == Counter({(r["out_shard"], r["ord"]): r["count"] for r in mixing.shard_counts(spark, t, sources, n, shard).collect()})
+    drawn = Counter()
+    for (_, o), k in counts.items():
+        drawn[o] += k
+    js = {o: [] for o in src}
+    for o in sorted(src):
+        have, want, spare = drawn[o], src[o]["slots"], []
+        for i in range(have):
+            at = i * want // have if have > want else i
+            if have <= want or (i + 1) * want // have > at:
+                js[o].append(at)
+            else:
+                spare.append((o, i))
+        line += spare
+    for o in sorted(src):
+        for k in range(max(0, src[o]["slots"] - drawn[o])):
+            line.pop(0)
+            js[o].append(drawn[o] + k)
+    assert not line and all(sorted(v) == list(range(src[o]["slots"])) for o, v in js.items())
+    assert Counter((o, j) for o, v in js.items() for j in v) == Counter((r["ord"], r["j"]) for r in mixing.draws(spark, t, sources, n, shard).collect())
+    times = Counter((o, brute_permute(j % src[o]["blocks"], src[o]["blocks"], o * 8 + j // src[o]["blocks"] + 1)) for o, v in js.items() for j in v)
+    taken = {}
+    for o, r in src.items():
+        rows = sorted(((int(hashlib.md5(f"{'' if x['doc_id'] is None else x['doc_id']}|{x['size']}|{x['tie']}".encode()).hexdigest()[:8], 16), x) for x in docs.collect() if x["source"] == r["source"]), key=lambda y: (y[0] % r["chunks"], y[0]))
+        at = 0
+        for _, x in rows:
+            taken[x["tie"]] = sum(times[o, w // mixing.BLOCK] for w in range(at, at + x["size"]))
+            at += x["size"]
+    assert {r["tie"]: r["taken"] for r in mixing.mix(docs, shard=shard).collect()} == taken
+
+
+def test_many_sources_without_broadcasts(spark, monkeypatch):
+    rows = [(i, " ".join(["w"] * (50 + i % 90)), None, f"s{i % 40}") for i in range(400)]
+    d = documents(spark, rows)
+    want = Counter(map(tuple, mixing.mix_documents(d).collect()))
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert Counter(map(tuple, mixing.mix_documents(d).collect())) == want
 
 
 def test_permutation_and_words(spark):
@@ -414,7 +450,7 @@ def test_pipeline(spark, tmp_path):
     assert ids("decontamination") == sorted(set(groups.values()) - bad) and (bad or 102 not in set(groups.values()))
     times = Counter(ids("mixing"))
     assert set(times) <= set(ids("decontamination")) and max(times.values()) <= 3
-    took = {r["doc_id"]: round(r["taken"] / r["size"] + 1e-9) for r in mixing.mix_documents(spark.createDataFrame(kept["decontamination"], docs.sparkSession.createDataFrame(kept["decontamination"]).schema)).collect()}
-    assert times == Counter({i: n for i, n in took.items() if n})
+    took = {r["doc_id"]: r["taken"] / r["size"] for r in mixing.mix_documents(spark.createDataFrame(kept["decontamination"])).collect()}
+    assert all(times[i] in (math.floor(x), math.ceil(x)) for i, x in took.items())  # rounded without bias: see test_repeated_keeps_the_words_of_sources
     assert len(kept["sharding"]) == len(kept["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["sharding"]) and decontam
