@@ -2,8 +2,8 @@
 
 Tokens are characters folded into CLASSES classes. A window network - embeddings of the SIDE tokens on either side, one hidden layer, a
 softmax over classes - predicts every token from both sides. It is trained in numpy, by rounds: each task takes Adam steps on the
-contexts that it holds, and the driver averages the parameters by weight. What it learns from are the counts of all contexts of all documents: the
-rounds together pass over every token at least once, so that steps grow with the tokens; few tokens are passed over several times. A document's score is the sum over its tokens of the log-probability given both sides.
+contexts that it holds, and the driver averages the parameters by weight. What it learns from are the counts of all contexts of all documents, whose
+number grows with the corpus; a round passes over each of them with its count as weight, so over every token. A document's score is the sum over its tokens of the log-probability given both sides.
 
 Scores are looked up: a batch's distinct contexts go through the network once.
 """
@@ -22,13 +22,16 @@ from .common import mix, partitions, pick, slices, written
 
 CLASSES = 64
 BITS = 6
-SIDE = 2
+SIDE = 3
 EMBED, HIDDEN = 12, 48
-ROUNDS = 4
+ROUNDS = 3
 STEP_ROWS = 1024
-LEAST_STEPS = 200
+LEAST_STEPS = 100     # of a round; contexts that are fewer are passed over several times
+HEAVY = 4             # mean counts that one row of a step stands for at most
 RATE = 0.01
-PIECE = 1 << 20
+PIECE = 1 << 22
+BUCKET_TOKENS = 8 << 20  # tokens for each bucket of contexts
+MOST_BUCKETS = 100_000
 
 FIXED = {"\n": 1, " ": 2, ".": 3, ",": 4, "'": 5, '"': 6, "-": 7, ":": 8, ";": 9, "!": 10, "?": 11, "(": 12, ")": 13}
 DIGIT, OTHER, LATIN, FURTHER = 14, 15, 16, 42  # a-z: 16 to 41; further letters share the rest
@@ -68,10 +71,12 @@ def contexts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
     padded = np.zeros(len(c) + 2 * SIDE * len(n), np.int64)
     at = np.arange(len(c)) + SIDE * (2 * row + 1)
     padded[at] = c
-    key = np.zeros(len(c), np.int64)
+    size = max(0, len(padded) - 2 * SIDE)  # contexts of all places, those between texts too
+    key = np.zeros(size, np.int64)
     for k in [*range(-SIDE, 0), *range(1, SIDE + 1), 0]:
-        key = key << BITS | padded[at + k]
-    return row, key, len(n)
+        key <<= BITS
+        key |= padded[SIDE + k : SIDE + k + size]
+    return row, key[at - SIDE], len(n)
 
 
 def unpack(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,42 +109,46 @@ def gradients(p, around, at, share=None):
     d *= 1 / len(at) if share is None else share[:, None]
     dh = (d @ p[3].T) * (1 - h * h)
     de = (dh @ p[1].T).reshape(-1, EMBED)
-    onehot = np.zeros((CLASSES, len(de)), de.dtype)
-    onehot[around.reshape(-1), np.arange(len(de))] = 1
-    return [onehot @ de, e.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
+    flat = around.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+    emb = np.zeros((CLASSES, EMBED), de.dtype)
+    emb[flat[order][first]] = np.add.reduceat(de[order], first, axis=0)
+    return [emb, e.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
 
 
-def n_steps(tokens: int, rounds: int) -> int:
-    """Steps of a round, such that all rounds pass over all tokens."""
-    return max(LEAST_STEPS, -(-tokens // (STEP_ROWS * rounds)))
+def weighted(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, weight) of the rows of a pass: each context once, or in equal parts if its count is more than HEAVY times the mean; weights add up to the counts."""
+    parts = np.maximum(1, -(-count // max(1, int(HEAVY * count.mean())))) if len(count) else count
+    at = np.repeat(np.arange(len(count)), parts)
+    return at, (count / parts)[at]
 
 
-def passed(count, seed, k, rounds):
-    """For each step of round k: (contexts, how often each), STEP_ROWS tokens in all.
+def passes(rows: int) -> int:
+    """How often a round passes over so many rows: once, unless they make fewer than LEAST_STEPS steps."""
+    return max(1, -(-LEAST_STEPS * STEP_ROWS // max(1, rows)))
 
-    The tokens are a line, on which each context takes its count. A grid of at least as many points lies evenly over it; every point
-    belongs to one step of one round, and the points of a step are evenly spread."""
-    total = np.cumsum(count)
-    tokens, n = int(total[-1]), n_steps(int(total[-1]), rounds)
-    points = n * STEP_ROWS * rounds
-    row = np.arange(STEP_ROWS, dtype=np.int64) * n
-    for t in np.random.default_rng(seed).permutation(n):
-        point = (row + t) * rounds + k
-        token = point * tokens // points if tokens < 1 << 31 else (point.astype(object) * tokens // points).astype(np.int64)
-        drawn = np.searchsorted(total, token, "right")
-        first = np.flatnonzero(np.r_[True, drawn[1:] != drawn[:-1]])
-        yield drawn[first], np.diff(np.r_[first, STEP_ROWS])
+
+def taken(count: np.ndarray, seed):
+    """For each step of a round: (contexts, their weights), every row in passes() of the steps."""
+    at, weight = weighted(count)
+    rng = np.random.default_rng(seed)
+    line = np.concatenate([rng.permutation(len(at)) for _ in range(passes(len(at)))])
+    for x in range(0, len(line), STEP_ROWS):
+        row = line[x : x + STEP_ROWS]
+        yield at[row], weight[row]
 
 
-def steps(p, key, count, seed, rate, k=0, rounds=1):
-    """Adam steps of round k over its tokens; the more tokens, the more steps."""
+def steps(p, key, count, seed, rate):
+    """Adam steps of a round over all contexts; the more contexts, the more steps."""
     kind = p[0].dtype
     p = [x.astype(np.float32) for x in p]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-    n = n_steps(int(count.sum()), rounds)
     around, at = unpack(key)
-    for t, (drawn, times) in enumerate(passed(count, seed, k, rounds), 1):
-        g = gradients(p, around[drawn], at[drawn], (times / STEP_ROWS).astype(np.float32))
+    rows = len(weighted(count)[0])
+    n, mean = -(-rows * passes(rows) // STEP_ROWS), count.sum() / max(1, rows)
+    for t, (drawn, weight) in enumerate(taken(count, seed), 1):
+        g = gradients(p, around[drawn], at[drawn], (weight / (mean * len(drawn))).astype(np.float32))
         r = np.float32(rate * (1 - t / (n + 1)) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t))
         for i in range(len(p)):
             m[i] += np.float32(0.1) * (g[i] - m[i])
@@ -151,14 +160,14 @@ def steps(p, key, count, seed, rate, k=0, rounds=1):
 # ---------------------------------------------------------------- training
 
 def counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed counts of all contexts of all documents: bucket, keys (int64), times (int64). Counted within tasks, then by bucket of the context's hash."""
+    """Packed counts of all contexts of all documents: bucket, keys (packed_keys), times (int64). Counted within tasks, then by bucket of the context's hash."""
     def packed(key, n):
         b = ((mix(key) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         order = np.argsort(b, kind="stable")
         key, n, b = key[order], n[order], b[order]
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         ends = np.r_[cut[1:], len(b)]
-        return pa.RecordBatch.from_arrays([pa.array(b[cut].astype(np.int32)), pa.array([key[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary()), pa.array([n[x:y].tobytes() for x, y in zip(cut, ends)], pa.binary())], ["bucket", "keys", "times"])
+        return pa.RecordBatch.from_arrays([pa.array(b[cut].astype(np.int32)), pa.array([packed_keys(key[x:y]) for x, y in zip(cut, ends)], pa.binary()), pa.array([n[x:y].astype(np.uint32).tobytes() for x, y in zip(cut, ends)], pa.binary())], ["bucket", "keys", "times"])
 
     def run(batches):
         keys, times, size = [], [], 0
@@ -178,25 +187,35 @@ def counts(docs: DataFrame, buckets: int) -> DataFrame:
             yield packed(*merged(keys, times))
 
     def add(key, pdf):
-        k, n = merged([np.frombuffer(x, np.int64) for x in pdf["keys"]], [np.frombuffer(x, np.int64) for x in pdf["times"]])
-        return pd.DataFrame({"bucket": [key[0]], "keys": [k.tobytes()], "times": [n.tobytes()]})
+        k, n = merged([unpacked_keys(x) for x in pdf["keys"]], [np.frombuffer(x, np.uint32) for x in pdf["times"]])
+        return pd.DataFrame({"bucket": [key[0]], "keys": [packed_keys(k)], "times": [n.tobytes()]})
 
     schema = "bucket int, keys binary, times binary"
     return docs.mapInArrow(run, schema).groupBy("bucket").applyInPandas(add, schema)
 
 
+def packed_keys(key: np.ndarray) -> bytes:
+    """Rising keys as their differences, byte by byte, so that most bytes are alike."""
+    return np.ascontiguousarray(np.diff(key, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
 def merged(keys, times):
     k, n = np.concatenate(keys), np.concatenate(times)
     uniq, inv = np.unique(k, return_inverse=True)
-    out = np.zeros(len(uniq), np.int64)
-    np.add.at(out, inv, n)
-    return uniq, out
+    return uniq, np.bincount(inv, weights=n, minlength=len(uniq)).astype(np.int64)
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Parameters of the network, trained on the counts of all contexts. Reruns agree: draws are seeded by bucket and round, averages taken in order of bucket."""
+    """Parameters of the network, trained on the counts of all contexts. Reruns agree, whatever the session's settings: buckets follow from the number of tokens,
+    draws are seeded by bucket and round, averages taken in order of bucket."""
     spark = docs.sparkSession
-    table = written(counts(docs, partitions(spark)), "contexts")
+    tokens = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, 1 + tokens // BUCKET_TOKENS)
+    table = written(counts(docs, buckets), "contexts")
     p = initial()
     shapes = [x.shape for x in p]
     for k in range(rounds):
@@ -205,8 +224,8 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> list[np.ndarray]:
         def run(frames, sent=sent, k=k):
             for pdf in frames:
                 for b, keys, times in zip(pdf["bucket"], pdf["keys"], pdf["times"]):
-                    key, n = np.frombuffer(keys, np.int64), np.frombuffer(times, np.int64)
-                    q = steps(sent.value, key, n, [int(b), k], RATE / (1 + k), k, rounds)
+                    key, n = unpacked_keys(keys), np.frombuffer(times, np.int64)
+                    q = steps(sent.value, key, n, [int(b), k], RATE / (1 + k))
                     yield pd.DataFrame({"bucket": [b], "weight": [float(n.sum())], "p": [np.concatenate([x.ravel() for x in q]).tobytes()]})
 
         # averages of averages: a fixed number of parts reach the driver
@@ -215,7 +234,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> list[np.ndarray]:
             w = pdf["weight"].to_numpy()
             return pd.DataFrame({"part": [key[0]], "weight": [w.sum()], "p": [np.average([np.frombuffer(x) for x in pdf["p"]], axis=0, weights=w).tobytes()]})
 
-        local = table.repartition(partitions(spark), "bucket").mapInPandas(run, "bucket int, weight double, p binary")
+        local = table.repartition(min(buckets, 8 * partitions(spark)), "bucket").mapInPandas(run, "bucket int, weight double, p binary")
         parts = sorted(local.withColumn("part", F.col("bucket") % 16).groupBy("part").applyInPandas(mean, "part int, weight double, p binary").collect(), key=lambda r: r["part"])
         if parts:
             flat = np.average([np.frombuffer(r["p"]) for r in parts], axis=0, weights=[r["weight"] for r in parts])
@@ -244,10 +263,14 @@ def scored(docs: DataFrame, p: list[np.ndarray]) -> DataFrame:
     def run(batches):
         for batch in slices(batches, PIECE):
             row, key, n = contexts(batch)
-            uniq, inv = np.unique(key, return_inverse=True)
-            lp = log_probabilities(sent.value, uniq)[inv]
+            order = np.argsort(key)
+            key = key[order]
+            new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+            lp = log_probabilities(sent.value, key[new])[np.cumsum(new) - 1]
             size = np.bincount(row, minlength=n)
-            total = np.bincount(row, weights=lp, minlength=n)
+            line = np.empty(len(lp))
+            line[order] = lp  # sums in the order of the text, whatever else is in the batch
+            total = np.bincount(row, weights=line, minlength=n)
             mean = [t / s if s else None for t, s in zip(total, size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(total), pa.array(mean, pa.float64())], ["doc_id", "n_tokens", "pseudo_loglik", "mean_loglik"])
 

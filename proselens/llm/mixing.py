@@ -5,7 +5,7 @@ mix is a list of slots, each of which takes one block. Slots are grouped into ou
 source from a multinomial distribution by the sources' shares of the target. What a source drew too often over all shards, evenly
 spread draws of it, goes to the sources that were drawn too rarely, so that totals are met exactly. Within a source, draw j
 reads block p(j mod blocks), where p is another pseudorandom permutation for each pass over the source. Permutations are swap-or-not
-shuffles in integer arithmetic, valid for every length, so that nothing is sorted or kept to draw an index.
+shuffles on hashes, valid for every length, so that nothing is sorted or kept to draw an index.
 
 Positions within a source, of documents and of draws, are prefix sums in two levels (chunks, then within a chunk), so that no
 task handles a whole source. Slots meet sources by an equi-join on intervals of shares, blocks meet documents by one on (source, block index).
@@ -27,36 +27,16 @@ CHUNK = 1000      # documents in a chunk of the prefix sum, about
 SLOTS_PER_TASK = 102_400  # whole shards
 SHARDS_PER_CHUNK = 1000
 FEW_SOURCES = 100_000  # rows of the table of sources that is broadcast at most; beyond that the joins shuffle
-P = 2147483647    # a prime
-
-
-def round_constants(n: int) -> list[tuple[int, int, int]]:
-    x, out = 88172645463325252, []
-    for _ in range(n):
-        three = []
-        for _ in range(3):
-            x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-            three.append((x >> 33) % (P - 1) + 1)
-        out.append(tuple(three))
-    return out
-
-
-ROUND = round_constants(ROUNDS)
 
 
 def permute(x: Column, n: Column, key: Column) -> Column:
     """Where x of 0..n-1 goes under the permutation chosen by key: a swap-or-not shuffle. In each round x and its partner
     (k - x) mod n change places or not, as a bit says that both derive from the larger of them."""
-    rounds = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(c).cast("long").alias("c")) for a, b, c in ROUND])
-
     def step(v: Column, r: Column) -> Column:
-        other = ((r["a"] + key * r["b"]) % P % n - v + n) % n
-        m = F.greatest(v, other)
-        h = (m % P * r["b"] + key * r["c"] + F.shiftright(m, 31)) % P
-        h = h * r["c"] % P * r["a"] % P
-        return F.when(F.shiftright(h, 12).bitwiseAND(1) == 1, other).otherwise(v)
+        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - v, n)
+        return F.when(F.xxhash64(F.greatest(v, other), key, r).bitwiseAND(1) == 1, other).otherwise(v)
 
-    return F.aggregate(rounds, x.cast("long"), step)
+    return F.aggregate(F.array(*[F.lit(r).cast("long") for r in range(ROUNDS)]), x.cast("long"), step)
 
 
 def words(text: Column) -> Column:
@@ -140,12 +120,8 @@ def positions(docs: DataFrame, t: DataFrame, sources: int) -> DataFrame:
 
 
 def uniform(slot: Column) -> Column:
-    """A pseudorandom number from 0 to 1 for each slot; squares, so that it is no linear function of the slot."""
-    a, b, c = ROUND[0]
-    x = (slot % P * a + b + F.shiftright(slot, 31)) % P
-    for k in (c, a):
-        x = (x * x + k) % P
-    return x / P
+    """A pseudorandom number from 0 to 1, less than 1, for each slot."""
+    return F.shiftrightunsigned(F.xxhash64(slot, F.lit(-1).cast("long")), 11) / float(1 << 53)
 
 
 def shard_counts(spark, t: DataFrame, sources: int, n: int, shard: int = SHARD) -> DataFrame:
@@ -196,7 +172,10 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     t, sources, n = plan(docs, block)
     d = positions(docs, t, sources)
     drawn = draws(spark, t, sources, n, shard).join(small(t.select("ord", "blocks"), sources), "ord")
-    drawn = drawn.select("ord", permute(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("ord") * 8 + F.floor(F.col("j") / F.col("blocks")) + 1).alias("block"))
+    # from an array of one, as the expression of a column that is merely named would be copied to wherever it is used
+    key = (F.col("ord").cast("long") * 8 + F.floor(F.col("j") / F.col("blocks"))).alias("key")
+    place = F.transform(F.array(F.struct((F.col("j") % F.col("blocks")).alias("at"), "blocks", key)), lambda x: permute(x["at"], x["blocks"], x["key"]))
+    drawn = drawn.select("ord", F.get(place, F.lit(0)).alias("block"))
     drawn = drawn.groupBy("ord", "block").agg(F.count(F.lit(1)).alias("times"))
     cut = d.where("size > 0").select("ord", "_from", "size", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_from") + F.col("size") - 1) / block))).alias("block"))
     cut = cut.withColumn("part", F.least(F.col("_from") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("_from"), F.col("block") * block))

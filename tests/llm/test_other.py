@@ -8,12 +8,14 @@ import io
 import math
 import random
 import re
+import struct
 import urllib.parse
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import WORDS, clusters, documents, shingles
 from pyspark.sql import functions as F
 
@@ -155,13 +157,17 @@ def test_repeated_keeps_the_words_of_sources(spark):
     assert times == Counter(r["doc_id"] for r in mixing.repeated(d).select("doc_id").collect())
 
 
+def spark_hash(*longs):
+    h = 42
+    for x in longs:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", x), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_permute(x, n, key):
-    for a, b, c in mixing.ROUND:
-        other = ((a + key * b) % mixing.P % n - x + n) % n
-        m = max(x, other)
-        h = (m % mixing.P * b + key * c + (m >> 31)) % mixing.P
-        h = h * c % mixing.P * a % mixing.P
-        if h >> 12 & 1:
+    for r in range(mixing.ROUNDS):
+        other = (spark_hash(key, r) - x) % n
+        if spark_hash(max(x, other), key, r) & 1:
             x = other
     return x
 
@@ -173,13 +179,10 @@ def test_draws_by_brute_force(spark, shard):
     docs = spark.createDataFrame([(i if i else None, "abc"[i % 3], s, f"t{i}") for i, s in enumerate(sizes)], "doc_id long, source string, size long, tie string")
     t, sources, n = mixing.plan(docs)
     src = {r["ord"]: r for r in t.collect()}
-    a, b, c = mixing.ROUND[0]
     counts, line = Counter(), []
     for slot in range(n):
-        x = (slot % mixing.P * a + b + (slot >> 31)) % mixing.P
-        for k in (c, a):
-            x = (x * x + k) % mixing.P
-        mine = next(o for o, r in src.items() if r["slots"] and r["from_slot"] / n <= x / mixing.P < (r["from_slot"] + r["slots"]) / n)
+        u = (spark_hash(slot, -1) % (1 << 64) >> 11) / (1 << 53)
+        mine = next(o for o, r in src.items() if r["slots"] and r["from_slot"] / n <= u < (r["from_slot"] + r["slots"]) / n)
         counts[slot // shard, mine] += 1
     assert counts == Counter({(r["out_shard"], r["ord"]): r["count"] for r in mixing.shard_counts(spark, t, sources, n, shard).collect()})
     drawn = Counter()
@@ -201,7 +204,7 @@ def test_draws_by_brute_force(spark, shard):
             js[o].append(drawn[o] + k)
     assert not line and all(sorted(v) == list(range(src[o]["slots"])) for o, v in js.items())
     assert Counter((o, j) for o, v in js.items() for j in v) == Counter((r["ord"], r["j"]) for r in mixing.draws(spark, t, sources, n, shard).collect())
-    times = Counter((o, brute_permute(j % src[o]["blocks"], src[o]["blocks"], o * 8 + j // src[o]["blocks"] + 1)) for o, v in js.items() for j in v)
+    times = Counter((o, brute_permute(j % src[o]["blocks"], src[o]["blocks"], o * 8 + j // src[o]["blocks"])) for o, v in js.items() for j in v)
     taken = {}
     for o, r in src.items():
         rows = sorted(((int(hashlib.md5(f"{'' if x['doc_id'] is None else x['doc_id']}|{x['size']}|{x['tie']}".encode()).hexdigest()[:8], 16), x) for x in docs.collect() if x["source"] == r["source"]), key=lambda y: (y[0] % r["chunks"], y[0]))
@@ -271,16 +274,17 @@ def test_scores(spark):
     rng = random.Random(3)
     rows = [(i, speech(rng, "en", 80)) for i in range(60)] + [(100, None), (101, ""), (102, "zq xj kv " * 30), (103, "é")]
     d = documents(spark, rows)
-    p = lm.train(d)
+    p = lm.train(d.where("doc_id <> 102"))
     got = {r["doc_id"]: r for r in lm.scored(d.select("doc_id", "text"), p).collect()}
     assert got[100]["n_tokens"] == 0 and got[100]["pseudo_loglik"] == 0 and got[100]["mean_loglik"] is None
     assert np.mean([got[i]["mean_loglik"] for i in range(60)]) > -1.2 > got[102]["mean_loglik"]
     # token by token
     for i in (0, 103):
         text, total = dict(rows)[i], 0.0
-        c = [0, 0, *(int(lm.classes()[ord(x)]) for x in text), 0, 0]
-        for k in range(2, len(c) - 2):
-            _, _, lp = lm.forward(p, np.array([[c[k - 2], c[k - 1], c[k + 1], c[k + 2]]]))
+        n = lm.SIDE
+        c = [*[0] * n, *(int(lm.classes()[ord(x)]) for x in text), *[0] * n]
+        for k in range(n, len(c) - n):
+            _, _, lp = lm.forward(p, np.array([[*c[k - n : k], *c[k + 1 : k + n + 1]]]))
             total += lp[0, c[k]]
         assert math.isclose(total, got[i]["pseudo_loglik"], rel_tol=1e-4, abs_tol=1e-4)
     assert lm.score_documents(d.limit(0)).count() == 0
@@ -289,7 +293,7 @@ def test_scores(spark):
 def test_gradients():
     rng = np.random.default_rng(1)
     p = lm.initial()
-    around, at = rng.integers(0, lm.CLASSES, (20, 4)), rng.integers(0, lm.CLASSES, 20)
+    around, at = rng.integers(0, lm.CLASSES, (20, 2 * lm.SIDE)), rng.integers(0, lm.CLASSES, 20)
     g = lm.gradients(p, around, at)
     loss = lambda: -lm.forward(p, around)[2][np.arange(20), at].mean()
     for k in range(5):
@@ -303,18 +307,26 @@ def test_gradients():
         assert math.isclose((up - down) / 2e-5, g[k][at_], rel_tol=1e-3, abs_tol=1e-7)
 
 
-@pytest.mark.parametrize("counts", [[3, 1, 400_000, 7, 1, 900_000, 1], [5, 1, 2], list(range(1, 2000))])
-def test_training_passes_over_every_token(counts):
-    """Each token is taken as often as any other, but for one, and at least once; so steps grow with the tokens."""
-    count, seen, taken = np.array(counts), np.zeros(len(counts), np.int64), 0
-    for k in range(lm.ROUNDS):
-        for drawn, times in lm.passed(count, [1, k], k, lm.ROUNDS):
-            assert times.sum() == lm.STEP_ROWS
-            np.add.at(seen, drawn, times)
-            taken += lm.STEP_ROWS
-    assert (seen >= count).all() and seen.sum() == taken >= count.sum()
-    assert (abs(seen - count * taken / count.sum()) <= 2).all()
-    assert lm.n_steps(10**9, lm.ROUNDS) * lm.ROUNDS * lm.STEP_ROWS >= 10**9
+@pytest.mark.parametrize("counts", [[3, 1, 400_000, 7, 1, 900_000, 1], [5, 1, 2], list(range(1, 2000)), [1] * 200_000])
+def test_a_round_passes_over_every_token(counts):
+    """Every context is taken with all its tokens, equally often; so steps grow with the contexts."""
+    count, seen, rows, n = np.array(counts), np.zeros(len(counts)), 0, 0
+    for drawn, weight in lm.taken(count, [1, 0]):
+        np.add.at(seen, drawn, weight)
+        rows, n = rows + len(drawn), n + 1
+    times = lm.passes(len(lm.weighted(count)[0]))
+    assert np.allclose(seen, count * times) and rows == times * len(lm.weighted(count)[0])
+    assert n >= lm.LEAST_STEPS and (len(counts) < 200_000 or n == -(-200_000 // lm.STEP_ROWS))
+    assert lm.weighted(count)[1].max() <= lm.HEAVY * count.mean()
+
+
+def test_contexts_are_packed():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5000):
+        key = np.unique(rng.integers(0, 1 << 42, n))
+        assert np.array_equal(lm.unpacked_keys(lm.packed_keys(key)), key)
+    key, times = lm.merged([np.array([1, 5, 9]), np.array([5, 7])], [np.array([1, 2, 3]), np.array([10, 20])])
+    assert key.tolist() == [1, 5, 7, 9] and times.tolist() == [1, 12, 20, 3]
 
 
 # ---------------------------------------------------------------- secrets
