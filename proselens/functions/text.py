@@ -6,6 +6,7 @@ Patterns are Java regular expressions. Word characters are letters, numbers and
 from __future__ import annotations
 
 import html
+import json
 import re
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\s\x{1c}-\x{1f}]"
+#: The characters of SPACE.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: What guards a phrase's edges: alphanumerics and combining marks, no underscore.
 GUARD = r"[\p{L}\p{N}\p{M}]"
 LINE_END = r"\R|[\x{1c}-\x{1e}]"
@@ -74,7 +77,7 @@ def column_of(text: Column, off: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def word_count(text: Column) -> Column:
@@ -109,6 +112,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.withColumn("_r", F.rand(0)).where("_r >= 0").drop("_r")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where its scan has fewer: a file of one row group is one task. Larger inputs stay as they are read."""
+    wide = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wide) if df.rdd.getNumPartitions() < wide else df
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once: a column that is merely named would be computed wherever it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def constant(rows: list[tuple], schema: str) -> Column:
+    """The rows as a literal array of structs; parsed from one string, as thousands of literals take seconds to build."""
+    names = [c.split(":")[0] for c in schema.split(",")]
+    return F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows], ensure_ascii=False)), f"array<struct<{schema}>>")
+
+
 def lines(text: Column) -> Column:
     """Physical lines; an end of line at the end of the text opens no further line."""
     parts = F.split(text, LINE_END, -1)

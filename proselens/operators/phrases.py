@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselens.functions.text import GUARD, SPACE, WORD, any_of, bounded, column_of, folded, line_of, no_spans, quote, settled, spans, strip, word_count
+from proselens.functions.text import GUARD, SPACE, WORD, any_of, bounded, column_of, constant, folded, line_of, no_spans, quote, settled, spans, strip, word_count
 
 from .config import PHYSICAL_NOUNS
 from .normalize import prepared
@@ -22,6 +22,7 @@ DENSITY_WORDS, DENSITY_DASHES = 150, 3
 DASHES = r"[—–―]"
 
 HIT = "struct<off:int,severity:string,rule:string,match:string,message:string,rule_ord:int,phrase_ord:int,hit_ord:int>"
+PHRASE = "rule:string,severity:string,rule_ord:int,phrase_ord:int,pattern:string,core:string,left:boolean,right:boolean,limit:int,message:string"
 FINDING = "struct<line:int,col:int,rule_ord:int,phrase_ord:int,hit_ord:int,severity:string,rule:string,match:string,message:string>"
 #: Directives are HTML comments of a tool whose name ends with lint, but not of the structural one.
 DIRECTIVE = rf"(?diU)<!--{SPACE}*(?!struct){WORD}*lint:{SPACE}*ignore(-next-line|-line)?(?!{WORD})(.*?)-->"
@@ -64,8 +65,7 @@ def phrase_hits(text: Column, cfg: dict) -> Column:
     rows = phrase_table(cfg)
     if not rows:
         return F.array().cast(f"array<{HIT}>")
-    names = ("rule", "severity", "rule_ord", "phrase_ord", "pattern", "core", "left", "right", "limit", "message")
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+    table = constant(rows, PHRASE)
     low = folded(text)
 
     def one(r: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proselens.functions.text import spread
 from proselens.operators import config
 
 DASH, CURLY = "—", "’"
@@ -65,7 +66,8 @@ def shipped(*keys: str) -> dict:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("raw"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("raw"))
+    return spread(d)
 
 
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
