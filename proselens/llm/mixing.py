@@ -145,7 +145,8 @@ def draws(spark, t: DataFrame, sources: int, n: int, shard: int = SHARD) -> Data
     over, under = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
     of = of.withColumn("over_from", F.coalesce(F.sum(over).over(w), F.lit(0))).withColumn("under", under).withColumn("under_from", F.coalesce(F.sum(under).over(w), F.lit(0)))
     c = prefix_sums(c, "ord", "_chunk", ["out_shard"], "count", "_from").drop("_chunk")
-    c = c.select("out_shard", "ord", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("count") - 1)).alias("i"))
+    # few rows, each of which becomes up to a shard's slots: dealt by the number of slots
+    c = c.repartition(max(partitions(spark), -(-n // SLOTS_PER_TASK)), "out_shard", "ord").select("out_shard", "ord", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("count") - 1)).alias("i"))
     c = c.join(small(of.select("ord", "slots", "drawn", "over_from"), sources), "ord")
     # of drawn, slots stay: those where i * slots / drawn reaches another whole number
     at = F.floor(F.col("i").cast("decimal(20,0)") * F.col("slots").cast("decimal(18,0)") / F.col("drawn")).cast("long")
