@@ -313,3 +313,25 @@ def load(path: str | None = None, base: str = "fallback") -> dict:
     except (OSError, ValueError) as e:
         raise ConfigError(f"{path}: {e}") from e
     return resolve(user, base)
+
+
+# ---------------------------------------------------------------------------
+# Further words and phrases of the catalog, off unless a preset is asked for.
+PRESETS = {
+    "fillers": {"filler_words": ["important", "key", "underscores", "essentially", "fundamentally", "ultimately"], "soft_phrases": ["in many ways", "speaks to", "it's important to note"]},
+    "stock": {"soft_phrases": ["empirical anchor", "methodological foundation", "rests on", "necessary-but-invisible", "unlock the potential of"]},
+    "sincerity": {"filler_words": ["truthfully", "frankly", "candidly"], "soft_phrases": ["to be honest", "in all honesty", "i'll be real with you"]},
+    "idioms": {"soft_phrases": ["circle back", "didn't land", "needs sharpening", "this raises important questions about", "the landscape of"]},
+}
+# ---------------------------------------------------------------------------
+
+
+def with_presets(cfg: dict, names) -> dict:
+    """A full rule set with the lists of presets appended where missing."""
+    out = copy.deepcopy(cfg)
+    for name in names:
+        if name not in PRESETS:
+            raise ConfigError(f"unknown preset {name!r}")
+        for key, words in PRESETS[name].items():
+            out[key] += [w for w in words if w not in out[key]]
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,21 @@ def exit_status(total: DataFrame, strict: bool = False) -> DataFrame:
     return total.select(bad.cast("int").alias("status"))
 
 
+FIELDS = ("line", "col", "severity", "rule", "match", "message")
+
+
+def quoted(text: Column) -> Column:
+    """The text in quotes, escaped as a Python literal: single quotes unless it holds these and no double ones."""
+    t = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    for c, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        t = F.replace(t, F.lit(c), F.lit(name))
+    single, double = F.contains(t, F.lit("'")), F.contains(t, F.lit('"'))
+    return F.when(single & ~double, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def text_lines(findings: DataFrame, path: str = "path") -> DataFrame:
-    """path:line:col [severity] rule: message  ->  'match'; quotes as in the match."""
-    return findings.select(F.format_string("%s:%d:%d [%s] %s: %s  ->  '%s'", F.col(path), "line", "col", "severity", "rule", "message", "match").alias("value"))
+    """path:line:col [severity] rule: message  ->  'match'."""
+    return findings.select(F.format_string("%s:%d:%d [%s] %s: %s  ->  %s", F.col(path), "line", "col", "severity", "rule", "message", quoted(F.col("match"))).alias("value"))
 
 
 def json_report(checked: DataFrame, path: str = "path") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proselens.functions.text import sentences, word_count
+from proselens.operators import catalog as tells
 from proselens.operators import config, normalize, phrases, report, structure, study, verdicts
 
 from . import inputs, oracle
@@ -41,6 +42,50 @@ RULE_SETS = {
 }
 
 
+AMENDED = config.with_presets(config.resolve({"add_banned_phrases": ["load-bearing wall", "smaller boat"], "remove_banned_phrases": ["game-changer"], "add_filler_words": ["the"], "remove_filler_words": ["the", "robust"],
+                                              "watch_words": {"actually": 1}}, "shipped"), ["sincerity"])
+ALLOWED = [("filler", "robust"), ("dash", None)]
+
+
+def placed(cfg: dict):
+    return lambda spark, sf: longs(phrases.findings(inputs.seeded(spark, sf), cfg).select("place", *FINDING))
+
+
+def struct_placed(spark, sf):
+    return longs(structure.findings(inputs.seeded(spark, sf)).select("doc_id", "place", "line", "rule"))
+
+
+def catalog_findings(spark, sf):
+    return longs(tells.findings(inputs.seeded(spark, sf)))
+
+
+def evidence(spark, sf):
+    d = inputs.seeded(spark, sf)
+    quote = F.substring("text", F.lit(3), F.lit(20))
+    scores = d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(quote, F.lit("~"))).when(F.col("doc_id") % 7 != 0, quote).alias("quote"))
+    return tells.evidence(scores, d.where("doc_id % 11 <> 0")).select("doc_id", "supported")
+
+
+def without_overrides(spark, sf):
+    """Findings that the writers' overrides, here those of sources whose name has an even length, do not allow."""
+    d = inputs.documents(spark, sf).where("source is not null and length(source) % 2 = 0").select("source").distinct()
+    allowed = d.crossJoin(F.broadcast(spark.createDataFrame(ALLOWED, "rule string, match string")))  # two rows
+    found = phrases.findings(inputs.seeded(spark, sf), SHIPPED, keys=("doc_id", "source"))
+    return longs(tells.without_allowed(found, allowed, "source").select("doc_id", "line", "col", "rule", "match"))
+
+
+def text_report(spark, sf):
+    found = phrases.findings(inputs.seeded(spark, sf), SHIPPED, keys=("doc_id",)).withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    return found.select("doc_id", "place", report.quoted(F.col("match")).alias("quoted")).withColumn("place", F.col("place").cast("long"))
+
+
+def json_files(spark, sf):
+    """How many findings the JSON of each document holds; clean documents have an empty list."""
+    checked = phrases.checked(inputs.seeded(spark, sf), SHIPPED)
+    j = report.json_report(checked.withColumn("path", F.col("doc_id")))
+    return j.select(F.col("path").alias("doc_id"), F.json_array_length("findings").cast("long").alias("findings"), F.col("suppressed").cast("long").alias("suppressed"))
+
+
 def report_by_doc(spark, sf):
     return report.by_document(phrases.checked(inputs.seeded(spark, sf), SHIPPED))
 
@@ -169,6 +214,8 @@ def queries():
         "html_visible_text": html_visible_text, "prepared_text": prepared_text, "words_by_doc": words_by_doc,
         "paragraphs": paragraphs, "sentences": sentences_query, "headers": structural("header"), "two_beat": structural("two-beat"), "aphorism": structural("aphorism"), "staccato": structural("staccato"),
         "struct_density": structural("density"), "struct_findings": structural(None),
+        "findings_place": placed(TEAM), "struct_place": struct_placed, "findings_amended": lint(AMENDED), "catalog_findings": catalog_findings, "evidence": evidence, "without_overrides": without_overrides,
+        "text_report": text_report, "json_files": json_files,
         "density_signal": density_signal, "clusters": clusters, "verdict": verdict, "profile_gates": profile_gates, "length_gate": length_gate, "word_ratio_drift": word_ratio_drift,
         "study_plan": study_plan, "study_sheet": study_sheet, "study_means": _study(study.means), "study_lift": _study(lambda i, r: study.lift(study.means(i, r))),
         "study_pooled": _study(lambda i, r: study.pooled(study.lift(study.means(i, r)))), "study_flags": _study(study.flags), "study_choice": _study(study.forced_choice),
@@ -208,6 +255,17 @@ def oracle_sql():
         "headers": o.by_rule("header"), "two_beat": o.by_rule("two-beat"), "aphorism": o.by_rule("aphorism"), "staccato": o.by_rule("staccato"),
         "struct_density": f"with {o.density()} select doc_id, cast(line as bigint) line, rule, excerpt from dn",
         "struct_findings": f"with {o.density()} select doc_id, cast(line as bigint) line, rule, excerpt from sf union all select doc_id, cast(line as bigint), rule, excerpt from dn",
+        "findings_place": f"with {o.found(TEAM)} select cast(row_number() over (partition by doc_id order by line, col, rule_ord, phrase_ord, off) - 1 as bigint) place, doc_id, cast(line as bigint) line, cast(col as bigint) col, severity, rule, match, cast(phrase_ord as bigint) phrase_ord from kept where not gone",
+        "struct_place": f"with {o.density()}, al as (select doc_id, line, rule, case rule when 'header' then 0 when 'density' then 2 else 1 end phase, list_position(['two-beat', 'aphorism', 'staccato'], rule) k from (select doc_id, line, rule from sf union all select doc_id, line, rule from dn)) "
+                        "select doc_id, cast(row_number() over (partition by doc_id order by phase, line, k) - 1 as bigint) place, cast(line as bigint) line, rule from al",
+        "findings_amended": o.findings(inputs.only(**o.amended())),
+        "catalog_findings": o.catalog(),
+        "evidence": f"with {o.seeded()}, sc as (select doc_id, case when doc_id % 3 = 0 then substr(text, 3, 20) || '~' when doc_id % 7 <> 0 then substr(text, 3, 20) end quote from seeded) "
+                    "select sc.doc_id, coalesce(quote <> '' and contains(text, quote), false) supported from sc left join (select * from seeded where doc_id % 11 <> 0) d using (doc_id)",
+        "without_overrides": f"with {found} select doc_id, cast(line as bigint) line, cast(col as bigint) col, rule, match from kept join norm using (doc_id) where not gone and not coalesce(length(source) % 2 = 0 and (rule = 'dash' or rule = 'filler' and lower(match) = 'robust'), false)",
+        "text_report": f"with {found}, q as (select doc_id, row_number() over (partition by doc_id order by line, col, rule_ord, phrase_ord, off) - 1 place, replace(replace(replace(replace(match, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') t from kept where not gone) "
+                       "select doc_id, cast(place as bigint) place, case when contains(t, chr(39)) and not contains(t, '\"') then '\"' || t || '\"' else chr(39) || replace(t, chr(39), '\\' || chr(39)) || chr(39) end quoted from q",
+        "json_files": f"with {found} select norm.doc_id, count(*) filter (not gone) findings, count(*) filter (gone) suppressed from norm left join kept k using (doc_id) group by norm.doc_id",
         "density_signal": f"with {found}, {signals} select *, {dense} density from sg",
         "clusters": f"with {o.cluster_counts()} select doc_id, clusters from ck where clusters > 0",
         "verdict": f"with {found}, {signals}, {o.cluster_counts().replace(o.seeded() + ', ', '')}, al as (select sg.*, coalesce(clusters, 0) clusters from sg left join ck using (doc_id)) select doc_id, {case(1, 'REVISE')} verdict, {case(2, 'd5-gap')} driver from al",

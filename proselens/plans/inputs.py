@@ -12,21 +12,21 @@ DASH, CURLY = "—", "’"
 #: One snippet for each doc_id modulo their number.
 SNIPPETS = [
     "Plain words follow, nothing to see and nothing to mark in this closing line.",
-    "This is a game-changer for the team. The paradigm shifts the debate.",
-    "That was a paradigm shift. Make no mistake, it was a testament to care.",
-    "Here's the thing: nobody cares. Let that sink in.",
+    "They call the new oven a game-changer. Every paradigm shifts with its users.",
+    "Call it a paradigm shift. Make no mistake, the dam is a testament to thrift.",
+    "Here's the thing: rents fell. Let that sink in.",
     f"Nobody{CURLY}s talking about it. Here{CURLY}s what{CURLY}s wild: no one is talking about it.",
-    "In conclusion, we won. At the end of the day it pays for itself.",
-    "A significant result. The signification of the sign. Robust, robust and seamless.",
-    "The load-bearing assumption fails. The load-bearing wall holds. A loadbearing\nbeam and a payload-bearing claim.",
-    f"We shipped it {DASH} then paused {DASH} and left.",
+    "In conclusion, buy the smaller boat. At the end of the day it pays for itself.",
+    "We saw a significant drop. Its signification was lost. Robust, robust and seamless.",
+    "Their load-bearing excuse gave way. Paint the load-bearing wall. One loadbearing\nbeam and a payload-bearing rocket.",
+    f"The ferry left {DASH} we waved {DASH} and ate.",
     f"One {DASH} two {DASH} three {DASH} four {DASH} five {DASH} six {DASH} seven {DASH} eight {DASH} nine {DASH} ten {DASH} end {DASH} and more {DASH} still {DASH} so.",
-    "She shut the door quietly. A quietly skeptical engineer watched. They left quietly\nbefore noon.",
-    "quietly quietly quietly it went, actually actually actually actually so.",
-    "See https://www.msn.com/story for more, and https://example.com/path/msn.com/story too.",
+    "He closed the ledger quietly. A quietly amused judge nodded. The bakery moved quietly\nin May.",
+    "quietly they rowed, quietly sang, quietly slept; actually, actually, actually, actually dry.",
+    "More at https://news.msn.com/a/1 today, and https://example.net/of/msn.com/a too.",
     "See https://user@Timesofindia.indiatimes.com:80/x and https://msn.com@evil.example/x or https://www.msn.com./story.",
     "The `game-changer` phrase and\n```\nat the end of the day\n```\nthen the game-changer itself.",
-    "It's worth noting that it's worth trying, and it's worth kingdoms.",
+    "It's worth noting that it's worth sailing, and it's worth kingfishers.",
     "I want to be clear: the honest truth is what comes next, put simply.",
     "This is a game-changer. <!-- proselint: ignore-line banned-phrase -->\nIt is robust.",
     "<!-- proselint: ignore-next-line -->\nThis is a game-changer and robust.\nThis is the move.",
@@ -35,17 +35,17 @@ SNIPPETS = [
     f"ségame-changer, that game-changer café, game-changer_x, regame-changer, {CURLY}game-changer{CURLY}.",
     "worth its weight in gold, worth its weight, the movement is the move.",
     "Where your voice lives, the line that never bends, one buys you time.",
-    "\nNone of them wrong. None of them ours.\n",
-    "\nIt finds the break. It reports the season. It flags the outages.\n",
+    "\nTwo of them new. Two of them torn.\n",
+    "\nIt opens at six. It smells of resin. It closes in winter.\n",
     "\n## The one thing that sinks it\n\n## Why this matters\n\n## How a chart carries a value\n",
     "\n## Design That Carries a Decision ##\n> ## The real deal\n### the real deal\n",
     "\n- **Calibration:** What is it? Week six, and again later.\n\n4. Send it now. Compare. Wait. Done.\n",
-    "\n> I made this. Ask me. Do not. Accept it.\n\n| A one. | B two. | C three. |\n\n[How are they? What is it? What does it hide?]\n",
-    "\na source you find yourself and finish is worth more than one from this page that you do not.\n",
-    "\nPosition is more accurate than length. The result is better than we expected and here is one more line to fill it.\n\nIt is better than one that doesn't.\n",
+    "\n> You rang. We came. No one. Try again.\n\n| A one. | B two. | C three. |\n\n[How are they? What is it? What does it hide?]\n",
+    "\nan old map that you can read is worth more than ten new ones which you can not.\n",
+    "\nCopper is softer than brass. The result is better than we expected and here is one more line to fill it.\n\nIt is better than one that doesn't.\n",
     "\n~~~\nA b. C d. E f. G h.\n~~~\nOne two. Three four.\n",
     "\n```\nOne two. Three four. Five six.\nnever closed here. No. Not yet.\n",
-    "\nNone of them wrong. None of them ours. <!-- structproselint: ignore-line -->\n\n<!-- structproselint: ignore-next-line -->\nAll of it right. All of it ours.\n\nStage 1: do it. Stage 2: stop. Stage 3: go.\n",
+    "\nTwo of them new. Two of them torn. <!-- structproselint: ignore-line -->\n\n<!-- structproselint: ignore-next-line -->\nHalf of it wet. Half of it dry.\n\nStage 1: do it. Stage 2: stop. Stage 3: go.\n",
     "\nSmith (2019) wrote it. Short one. Another one. And one.\n\n\"This is a quoted prompt that goes on for well over sixty characters, as it should.\" Yes. No. So.\n",
     "\n**Type:** a **Title:** b\n**Label.** One two. Three four. Five six.\nMore text follows here\nand wraps. To the end.\n",
     "\nIt doesn't just work, it isn't merely fast. Not just neat but clean.\n\nClarity, transparency, and accountability; innovation, collaboration and growth.\n",

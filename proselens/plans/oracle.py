@@ -5,9 +5,6 @@ from __future__ import annotations
 import re
 
 from proselens.operators import config
-from proselens.operators.structure import COMPARATIVE, HEADER_STANCES, LABELED_STEP, NEGATED_TAIL
-from proselens.operators.verdicts import ANTITHESIS, TRIPLET
-
 from .inputs import BRIEF, RUN, SNIPPETS
 
 W, G = r"[\p{L}\p{N}_]", r"[\p{L}\p{N}\p{M}]"
@@ -116,7 +113,16 @@ def findings(cfg: dict) -> str:
 
 # ---------------------------------------------------------------- structure
 
-B_WORD = r"\b"
+# Patterns that results depend on.
+HEADER_STANCES = [
+    r"^(the|a) +(one +)?(thing|part|piece|bit|one) +(that|nobody|no one|everyone|most)\b", r"^why +(this|that|it) +matters\b", r"^what +(everyone|nobody|no one|most people) +(misses|gets wrong|forgets)\b",
+    r"^the +\w+ +(nobody|no one) +\w+", r"^here'?s +(the|what|why)\b", r"^(the real|the actual) +\w+", r"^what +.{0,40} +is +really\b", r"\bis +the +(point|moment|whole|tell)\b",
+    r"^(design|structure|the \w+) +that +carr(ies|y)\b", r"\bcarr(ies|y) +(a|the) +(decision|argument|weight|meaning|story)\b"]
+COMPARATIVE = r"\b(worth +(more|less)|more|less|better|worse|stronger|weaker|cheaper|faster|safer|harder|easier) +than\b"
+NEGATED_TAIL = r"\b(that|than|which|who) +((you|it|they|we|one|he|she|others?|most) +)?(do|does|did|is|are|was|were|will|would|can|could|have|has|had) *n[o’']t\b *[.!?\"]*$"
+LABELED_STEP = r"\b(stage|step|round|question|phase|prompt|slide) +\d+ *:"
+ANTITHESIS = r"\b(?:doesn't|does not|isn't|is not|aren't|are not|wasn't|was not) (?:just|merely|only)\b|\bnot just [^.!?]{1,80}?,? but\b|\bthis is not [^.!?]{1,80}?\. it is\b"
+TRIPLET = r"\b\w+, \w+,? and \w+\b"
 BREAKS = {
     "q": r"^\s*>", "h": r"^\s{0,3}#{1,6}\s+(.*?)\s*#*\s*$", "f": r"^\s*(\*\*[^*]{1,40}:\*\*\s*){2,}", "t": r"^\s*\|.*\|\s*$", "b": r"(?s)^\s*\[.*\]\s*$",
     "c": r"(?i)\((?:19|20)\d\d\)|\bDOI\b|https?://|\barXiv\b|\bpp\.\s*\d", "u": r'"[^"]{60,}"',
@@ -173,6 +179,28 @@ def cluster_counts() -> str:
     return f"{paragraphs()}, ck as (select doc_id, count(*) filter ({n(ANTITHESIS)} >= 2 or {n(TRIPLET)} >= 2) clusters from paras group by doc_id)"
 
 
+def amended() -> dict:
+    """The rule set that the query findings_amended resolves, put together by hand."""
+    c = config.SHIPPED
+    return {"no_dashes": True, "load_bearing_literal_only": True, "banned_phrases": [p for p in c["banned_phrases"] if p != "game-changer"] + ["load-bearing wall", "smaller boat"], "engagement_bait": c["engagement_bait"],
+            "soft_phrases": c["soft_phrases"] + ["to be honest", "in all honesty", "i'll be real with you"], "filler_words": [w for w in c["filler_words"] if w != "robust"] + ["truthfully", "frankly", "candidly"],
+            "watch_words": {"quietly": 2, "actually": 1, "silently": 2}, "dash_density_cap": 1.0}
+
+
+def catalog() -> str:
+    edge = lambda p: p.replace(r"\w", W)
+    count = lambda e, p: f"len(regexp_extract_all({e}, {lit('(?i)' + edge(p))}))"
+    hedge = count("s", r"\b(?:may|might|could|perhaps|possibly|potentially|somewhat|arguably)\b")
+    balanced = count("s", r"^while [^,.!?]{1,80} is [^,.!?]{1,40}, [^.!?]{1,80} is equally ")
+    parts = {
+        "antithesis": count("body", ANTITHESIS), "triplet": count("body", TRIPLET), "counter": count("body", r"\bcounter-[a-z]+"),
+        "opener": count("body", r"^(?:situated|in a world where|in the rapidly evolving landscape of|as we navigate|today, more than ever|in recent years|picture this:|imagine)"),
+        "transition": count("body", r"^(?:furthermore|moreover|additionally)\b"),
+        "hedges": f"len(list_filter(sents, lambda s: {hedge} >= 3))", "balanced": f"len(list_filter(sents, lambda s: {balanced} >= 1))"}
+    rows = " union all ".join(f"select doc_id, start_line, body, '{k}' category, {v} hits from sp" for k, v in parts.items())
+    return f"with {sentences()} select doc_id, cast(start_line as bigint) line, category, cast(hits as bigint) hits, substr(body, 1, 80) excerpt from ({rows}) where hits > 0"
+
+
 # ---------------------------------------------------------------- study
 
 def items(anchor: bool = True) -> str:

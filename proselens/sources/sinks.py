@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,15 @@ def write_ratings(sheet: DataFrame, path: str) -> None:
     sheet.select(*[c.split()[0] for c in study.RATINGS.split(", ")]).write.option("emptyValue", "").csv(path, header=True)
 
 
+def ratings_file(sheet: DataFrame, path) -> None:
+    """The same in one file, which raters edit; a study's rows are few."""
+    names = [c.split()[0] for c in study.RATINGS.split(", ")]
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f)
+        w.writerow(names)
+        w.writerows([r[n] for n in names] for r in sheet.orderBy("writer", "candidate").collect())
+
+
 def sheet_markdown(sheet: DataFrame, drafts: DataFrame, references: DataFrame, title: str, instructions: str) -> str:
     """The rating sheet: for each writer the reference, then the candidates. drafts (blind_id, text), references (writer, reference)."""
     rows = sheet.join(drafts, "blind_id", "left").join(references, "writer", "left").orderBy("writer", "candidate").collect()

@@ -1,3 +1,5 @@
+import csv
+import io
 import json
 
 from proselens import __main__ as cli
@@ -36,6 +38,56 @@ def test_command_line(spark, tmp_path, capsys):
     assert [run("structure", "two.md"), run("structure", "two.md", "--strict"), run("structure", "good.md", "--strict")] == [0, 1, 0]
 
 
+def test_json_errors_and_standard_input(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "b.md").write_text('It is "robust", isn\'t it?\nThey call the oven a game-changer. <!-- proselint: ignore -->\n')
+    (tmp_path / "a.md").write_text("Clean.\n")
+    b, a, none = (str(tmp_path / n) for n in ("b.md", "a.md", "none.md"))
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO("Robust \xff.".encode("latin-1"))))
+    assert cli.main(["lint", "--json", b, a, none, "-", b]) == 2  # one cannot be read; the others are reported all the same
+    out = capsys.readouterr()
+    got = json.loads(out.out)
+    assert list(got["files"]) == [b, a, "-"] and got["suppressed"] == 1 and got["files"][a] == [] and "none.md" in out.err
+    assert got["files"][b] == [{"line": 1, "col": 8, "severity": "warning", "rule": "filler", "match": "robust", "message": got["files"][b][0]["message"]}]
+    assert cli.main(["lint", b, "--preset", "fillers"]) == 0 and f"{b}:1:8 [warning] filler:" in capsys.readouterr().out
+    (tmp_path / "bad.md").write_bytes(b"\xff")
+    assert cli.main(["structure", "--json", a, str(tmp_path / "bad.md")]) == 2 and not capsys.readouterr().out
+    (tmp_path / "two.md").write_text("Two of them new. Two of them torn.\n")
+    assert cli.main(["structure", "--json", a, str(tmp_path / "two.md")]) == 0
+    assert [(r["line"], r["rule"], sorted(r)) for r in json.loads(capsys.readouterr().out)] == [(1, "two-beat", ["excerpt", "file", "line", "message", "rule"])]
+    monkeypatch.setattr(cli, "lint", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    assert cli.main(["lint", a]) == 130
+
+
+def test_study_from_plan_to_results(spark, tmp_path, capsys):
+    root = ["study", "--root", str(tmp_path)]
+    assert [cli.main([*root, "add-writer", w]) for w in ("ann", "ben")] == [0, 0] and cli.main([*root, "add-brief", "tide"]) == 0
+    (tmp_path / "writers/ann/holdout/x.md").write_text("Held back.")
+    (tmp_path / "writers/ann/samples/s.md").write_text("  A sample. " + "z" * 1300)
+    (tmp_path / "writers/ann/profile.md").write_text("Short sentences.")
+    assert cli.main([*root, "add-writer", "ann"]) == 0 and (tmp_path / "writers/ann/profile.md").read_text() == "Short sentences."  # kept
+    plan = [*root, "plan", "r1", "--brief", "tide", "--writers", "ann, ben", "--anchor"]
+    assert cli.main([*plan[:-4], "none", *plan[-3:]]) == 1 and cli.main([*root, "prompts", "r1"]) == 1
+    assert cli.main(plan) == 0 and cli.main(plan) == 1 and "already" in capsys.readouterr().err
+    items = json.loads((tmp_path / "runs/r1/manifest.json").read_text())["items"]
+    assert len(items) == 8 and cli.main([*root, "prompts", "r1"]) == 0
+    by = {(i["target"], i["condition"]): i["blind_id"] for i in items}
+    prompt = lambda w, c: (tmp_path / f"runs/r1/prompts/{by[w, c]}.txt").read_text()
+    assert "Short sentences." in prompt("ann", "correct") and study.NO_PROFILE in prompt("ben", "none") and len(list((tmp_path / "runs/r1/prompts").iterdir())) == 6
+    assert [(tmp_path / f"runs/r1/drafts/{by[w, 'anchor']}.md").read_text() for w in ("ann", "ben")] == ["Held back.", study.NO_HOLDOUT]
+    assert cli.main([*root, "sheet", "r1", "--format", "forcedchoice"]) == 0
+    sheet = (tmp_path / "runs/r1/rating-sheet.md").read_text()
+    assert "Held back." in sheet and "..." in sheet and study.NO_REFERENCE in sheet and "(draft not generated yet)" in sheet
+    rows = list(csv.DictReader(open(tmp_path / "runs/r1/ratings.csv")))
+    assert [r["candidate"] for r in rows] == list("abcd") * 2 and all(r["rating"] == "" for r in rows)
+    for r in rows:
+        r["rating"] = "5" if r["blind_id"] == by["ann", "correct"] else "2" if r["blind_id"] == by["ann", "none"] else ""
+    with open(tmp_path / "runs/r1/ratings.csv", "w", newline="") as f:
+        w = csv.DictWriter(f, rows[0])
+        w.writeheader()
+        w.writerows(rows)
+    assert cli.main([*root, "score", "r1"]) == 0 and "lift = +3.00" in (tmp_path / "runs/r1/results.md").read_text()
+
+
 def test_merged(spark):
     a = spark.createDataFrame([(1, 1, 2, "warning", "soft", "x", "m"), (1, 3, 1, "warning", "filler", "y", "m")], "doc_id long, line int, col int, severity string, rule string, match string, message string")
     b = spark.createDataFrame([(1, 1, 2, "error", "banned", "x", "m")], a.schema)
