@@ -27,11 +27,13 @@ BASE2 = 0xA0761D6478BD642F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where it is unset (tests in local mode) a temporary folder is made and set."""
+    Where it is unset, a temporary folder is made and set in local mode (tests); on a cluster, where nobody else would see such a folder, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="proselens-"))
             current = spark.sparkContext.getCheckpointDir()
         found = current

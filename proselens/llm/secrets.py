@@ -17,6 +17,7 @@ import itertools
 import re
 import tempfile
 import zlib
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,20 +67,33 @@ def _code(match: str) -> str:
 
 def _replaced(text: str, lo: int, hi: int, pattern: re.Pattern, decode, at):
     """text[lo:hi] with each match decoded, and each new character's range in the original. at(i, j): the original range of text[i:j]."""
-    out, ranges, pos = [], [], lo
+    out, ranges, pos = [], Ranges(), lo
     for m in pattern.finditer(text, lo, hi):
         out.append(text[pos : m.start()])
-        ranges += [at(i, i + 1) for i in range(pos, m.start())]
+        ranges.extend(at(i, i + 1) for i in range(pos, m.start()))
         new = decode(m.group())
         out.append(new)
         n, width = len(new), m.end() - m.start()
-        ranges += [at(m.start() + k * width // n, max(m.start() + k * width // n + 1, m.start() + (k + 1) * width // n)) for k in range(n)]
+        ranges.extend(at(m.start() + k * width // n, max(m.start() + k * width // n + 1, m.start() + (k + 1) * width // n)) for k in range(n))
         pos = m.end()
     out.append(text[pos:hi])
-    ranges += [at(i, i + 1) for i in range(pos, hi)]
+    ranges.extend(at(i, i + 1) for i in range(pos, hi))
     return "".join(out), ranges
 
 
+class Ranges:
+    """Ranges of characters in two arrays of integers: 16 bytes for each, as lines may be long."""
+
+    def __init__(self, pairs=()):
+        self.lo, self.hi = array("q"), array("q")
+        self.extend(pairs)
+
+    def extend(self, pairs) -> None:
+        for s, e in pairs:
+            self.lo.append(s)
+            self.hi.append(e)
+
+
 def _percent(run: str) -> str:
     return bytes.fromhex(run.replace("%", "")).decode("utf-8", "replace")
 
@@ -221,7 +235,7 @@ def unwrapped(text: str, at):
             last = len(places) - 1
             for inner, encoding, start in [(plain, "utf-8", 0)] if _printable(plain) else _texts(raw):
                 edges = _edges(inner, encoding, start)
-                yield _layer(inner, [at(places[x * 4 // 3], places[min(last, (y * 4 + 2) // 3 - 1)] + 1) for x, y in zip(edges, edges[1:])])
+                yield _layer(inner, Ranges(at(places[x * 4 // 3], places[min(last, (y * 4 + 2) // 3 - 1)] + 1) for x, y in zip(edges, edges[1:])))
             continue
         whole = at(places[0], places[-1] + 1)
         for piece in _pieces(more):
@@ -229,8 +243,8 @@ def unwrapped(text: str, at):
                 yield inner, lambda i, j, w=whole: w
 
 
-def _layer(text: str, ranges: list[tuple[int, int]]):
-    return text, lambda i, j: (ranges[i][0], max(e for _, e in ranges[i:j]))
+def _layer(text: str, ranges: Ranges):
+    return text, lambda i, j: (ranges.lo[i], max(ranges.hi[i:j]))
 
 
 def spans(text: str) -> tuple[list, set, int]:

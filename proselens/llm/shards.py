@@ -4,7 +4,8 @@ Each shard owns many points (virtual nodes) of a hash ring; a row's key falls on
 next point clockwise. Only the number of rows of each arc reaches the driver - as many numbers as there
 are points, whatever the input's size. The driver fills the shards up to their capacity in ring order and
 sends what overflows on clockwise to the next point of a shard that has room; the outcome is a list
-of intervals of ranks within arcs. A row's rank within its arc then decides its shard and its slot, so that
+of intervals of ranks within arcs. A row's rank within its arc then decides its shard and its slot. Ranks are prefix sums in two
+levels, over SLICES slices of each arc and within a slice; slices are dealt by all columns, so that a repeated key is spread as well, and
 no task sees more than one slice of an arc.
 
 Capacities are the tightest that hold all rows (counts differ by one at most), so the law held is `rows`.
@@ -22,6 +23,7 @@ from .common import pick
 
 SHARDS = 24
 POINTS = 64  # virtual nodes of a shard
+SLICES = 64  # of an arc
 RING = 1 << 32
 
 
@@ -88,8 +90,10 @@ def assign(df: DataFrame, key: str, tie: list[str], shards: int = SHARDS, points
     near = F.slice(ends_lit, F.get(starts_lit, top) + 1, F.get(starts_lit, top + 1) - F.get(starts_lit, top))
     arc = F.get(starts_lit, top) + F.size(F.filter(near, lambda e: e < pos))
     d = df.withColumn("_pos", pos).withColumn("_arc", (arc % len(ends)).cast("int"))
+    d = d.withColumn("_slice", F.pmod(F.xxhash64(key, *tie), F.lit(SLICES)))
+    slices = d.groupBy("_arc", "_slice").count()  # at most SLICES rows for each ring point
     counts = [0] * len(ends)
-    for r in d.groupBy("_arc").count().collect():  # one number for each ring point
+    for r in slices.groupBy("_arc").agg(F.sum("count").alias("count")).collect():  # one number for each ring point
         counts[r["_arc"]] = r["count"]
     moves = plan(counts, owners, capacities(sum(counts), shards))
     by: dict[int, list] = {}
@@ -97,14 +101,17 @@ def assign(df: DataFrame, key: str, tie: list[str], shards: int = SHARDS, points
         by.setdefault(a, []).append((lo, hi, s, slot))
     rows = [(a, *m) for a, ms in by.items() for m in ms]
     table = spark.createDataFrame(rows, "_arc int, _lo long, _hi long, shard int, _slot long")
-    w = Window.partitionBy("_arc").orderBy("_pos", key, *tie)
-    ranked = d.withColumn("_rank", F.row_number().over(w) - 1)
+    along = Window.partitionBy("_arc").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_base", F.coalesce(F.sum("count").over(along), F.lit(0))).drop("count")
+    w = Window.partitionBy("_arc", "_slice").orderBy("_pos", key, *tie)
+    ranked = d.withColumn("_rank", F.row_number().over(w) - 1).join(F.broadcast(slices), ["_arc", "_slice"])  # bounded by the ring
+    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_rank"))
     moves_of = table.groupBy("_arc").agg(F.collect_list(F.struct("_lo", "_hi", "shard", "_slot")).alias("_moves"))
     out = ranked.join(F.broadcast(moves_of), "_arc")  # at most points + shards intervals, by construction
     m = F.get(F.filter("_moves", lambda x: (F.col("_rank") >= x["_lo"]) & (F.col("_rank") < x["_hi"])), 0)
     return (out.withColumn("_m", m).withColumn("shard", F.col("_m.shard"))
             .withColumn("slot", F.col("_m._slot") + F.col("_rank") - F.col("_m._lo"))
-            .drop("_m", "_moves", "_arc", "_pos", "_rank"))
+            .drop("_m", "_moves", "_arc", "_pos", "_rank", "_slice", "_base"))
 
 
 def sized(docs: DataFrame) -> DataFrame:

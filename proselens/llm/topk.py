@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, written
+from .common import partitions, pick, written
 
 BLOCK = 8192      # candidates in a block
 QUERIES = 2048    # queries in a block
+FEW_BYTES = 64 << 20  # of queries, which are broadcast up to there
 STEP = 8          # dimensions added between two prunings
 SAFE = 2.0**52    # below it sums of products of integers are exact in doubles
 
@@ -96,7 +97,7 @@ def search(q_ids, q, c_ids, c, k: int):
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, few: int = FEW_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row whose vec_id is divisible by `every`, the k rows (never itself) with the
     highest inner product of floor(256 * x), ties to the smaller vec_id.
 
@@ -111,26 +112,42 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     asked = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
     q = written(asked.mapInPandas(lambda it: pack(it, True), schema).withColumn("qb", F.expr("uuid()")), "topk-queries")
     c = v.mapInPandas(lambda it: pack(it, False), schema)
-    # every block of queries meets every block of candidates: only the list of query blocks' names, never the vectors, is small
-    # enough to send along; the blocks themselves meet by an equi-join
-    names = q.groupBy().agg(F.collect_list("qb").alias("names"))
-    pairs = (c.select(F.struct("ids", "dims", "values").alias("c"), F.lit(1).alias("one"))
-             .join(F.broadcast(names.withColumn("one", F.lit(1))), "one")
-             .select("c", F.explode("names").alias("qb"))
-             .join(q.select("qb", F.struct("ids", "dims", "values").alias("q")), "qb"))
-
-    def run(frames):
+
+    def block(x):
+        ids = np.frombuffer(x["ids"], np.int64)
+        return ids, np.frombuffer(x["values"], np.int64).reshape(x["dims"], -1) if x["dims"] else np.zeros((0, len(ids)), np.int64)
+
+    def both(q_, c_):
+        found = [search(q_[0][a : a + 256], q_[1][:, a : a + 256], *c_, k) for a in range(0, len(q_[0]), 256)]
+        x, y, s = (np.concatenate(z) for z in zip(*found))
+        return pd.DataFrame({"query_id": x, "vec_id": y, "score": s})
+
+    out = "query_id long, vec_id long, score long"
+    if (q.agg(F.sum(F.length("values") + F.length("ids"))).first()[0] or 0) <= few:
+        sent = spark.sparkContext.broadcast([r.asDict() for r in q.orderBy("qb").collect()])  # of few bytes, as just counted
+
+        def run(frames):
+            for pdf in frames:
+                for c_ in map(block, pdf.to_dict("records")):
+                    for q_ in map(block, sent.value):
+                        yield both(q_, c_)
+
+        return ranked(c.mapInPandas(run, out), k)
+    # beyond that, a grid: every block of queries in each of `wide` columns meets the candidate blocks of that column
+    wide = partitions(spark)
+    names = q.groupBy().agg(F.collect_list("qb").alias("names"))  # 36 bytes for QUERIES queries
+    tiles = c.select(F.struct("ids", "dims", "values").alias("c"), F.pmod(F.xxhash64("ids"), F.lit(wide)).alias("col")).crossJoin(F.broadcast(names)).select("c", "col", F.explode("names").alias("qb"))
+    rows = q.select("qb", F.struct("ids", "dims", "values").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long"))).alias("col"))
+
+    def run_tiles(frames):
         for pdf in frames:
             for c_, q_ in zip(pdf["c"], pdf["q"]):
-                ids = [np.frombuffer(x["ids"], np.int64) for x in (q_, c_)]
-                val = [np.frombuffer(x["values"], np.int64).reshape(x["dims"], -1) if x["dims"] else np.zeros((0, len(i)), np.int64) for x, i in zip((q_, c_), ids)]
-                found = []
-                for a in range(0, len(ids[0]), 256):
-                    found.append(search(ids[0][a : a + 256], val[0][:, a : a + 256], ids[1], val[1], k))
-                a, b, s = (np.concatenate(x) for x in zip(*found))
-                yield pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
-
-    found = pairs.mapInPandas(run, "query_id long, vec_id long, score long")
+                yield both(block(q_), block(c_))
+
+    return ranked(tiles.join(rows, ["qb", "col"]).select("c", "q").mapInPandas(run_tiles, out), k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

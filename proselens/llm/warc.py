@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import discard, fresh_path, partitions, pick, remove_path, written
 
 ARCHIVE_BYTES = 16 << 20  # payload in an archive, about
+RANGE_ROWS = 100_000      # captures of a range, about: what a task of the merge holds
 LEAST_REVISIT = 0         # payloads of fewer bytes are never revisits
 CRLF = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -180,7 +181,8 @@ class LoserTree:
 def merge(captures: DataFrame) -> DataFrame:
     """captures with merge_order: each row's place (from 0) in the global order by URL key, timestamp and page_id (null first).
 
-    Ranges of the key are cut at sampled splitters over all three columns, so that one hot URL is split too."""
+    Ranges of the key are cut at sampled splitters over all three columns, so that one hot URL is split too; there are as many ranges as keep
+    each at about RANGE_ROWS rows, so the rows that a task merges are bounded whatever the number of captures."""
     spark = captures.sparkSession
     names = captures.columns
     at = [names.index(c) for c in ORDER]
@@ -209,7 +211,7 @@ def merge(captures: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [*names, "part", "at"])
 
     schema = ", ".join(f"{c} {t}" for c, t in captures.dtypes) + ", part int, at long"
-    dealt = captures.repartitionByRange(partitions(spark), *[F.col(c) for c in ORDER])
+    dealt = captures.repartitionByRange(max(partitions(spark), -(-captures.count() // RANGE_ROWS)), *[F.col(c) for c in ORDER])
     done = written(dealt.mapInArrow(run, schema), "captures")
     before = done.groupBy("part").count().withColumn("base", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = done.join(F.broadcast(before.select("part", "base")), "part")  # one row for each range

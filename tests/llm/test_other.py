@@ -44,6 +44,8 @@ def test_topk(spark):
     for r in topk.top_k(d, 5, 10).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert got == brute_top(rows, 5, 10)
+    key = lambda r: tuple(r)
+    assert sorted(map(key, topk.top_k(d, 5, 10, few=0).collect())) == sorted(map(key, topk.top_k(d, 5, 10).collect()))  # queries that are too many to broadcast
     assert topk.top_k(d.limit(0)).count() == 0
     few = topk.top_k(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")).collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in few] == [(0, 1, 256 * 512)]
@@ -78,6 +80,32 @@ def test_shards(spark):
     assert len({r["shard"] for r in shards.shard_documents(documents(spark, rows[:3])).collect()}) == 3
 
 
+def test_shards_by_brute_walk(spark):
+    """Every row walks the ring by itself: to the first point at or after its position, then clockwise to a shard with room."""
+    rows = [(i, f"t{i % 50}") for i in range(700)] + [(3, f"u{i}") for i in range(200)]  # a repeated key
+    got = shards.shard_documents(documents(spark, rows), shards=5).select("doc_id", "shard").collect()
+    ring = shards.ring(5)
+    room = shards.capacities(len(rows), 5)
+    at = {}
+    for i, _ in rows:
+        pos = int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16)
+        at.setdefault(next((k for k, (p, _) in enumerate(ring) if p >= pos), 0), []).append(i)
+    home, over = Counter(), []
+    for k, (_, s) in enumerate(ring):
+        for i in at.get(k, []):
+            if room[s]:
+                room[s] -= 1
+                home[k, s] += 1
+            else:
+                over.append(k)
+    for k in over:
+        s = next(ring[(k + j) % len(ring)][1] for j in range(1, len(ring) + 1) if room[ring[(k + j) % len(ring)][1]])
+        room[s] -= 1
+        home[k, s] += 1
+    arc = {i: k for k, ids in at.items() for i in ids}
+    assert Counter((arc[r["doc_id"]], r["shard"]) for r in got) == home
+
+
 def test_overflow_goes_clockwise_and_moves_little():
     ring = shards.ring(6, 16)
     owners = [s for _, s in ring]
