@@ -442,3 +442,14 @@ def in_reach(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) s from w),
+e as (select doc_id, len(s) n, unnest(s) g from s),
+p as (select a.doc_id u, b.doc_id v, any_value(a.n) + any_value(b.n) n, count(*) c from e a join e b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+l as (select u, v from p where 100 * c >= 80 * (n - c)),
+r as (select doc_id, doc_id o from s union select r.doc_id, l.v from r join l on r.o = l.u)
+select s.doc_id, cast(len(s) as bigint) n_shingles, m component_id from s join (select doc_id, min(o) m from r group by doc_id) using (doc_id)
+"""

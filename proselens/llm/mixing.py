@@ -217,3 +217,21 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir):
     return mix_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def targets_query(spark, sf_dir):
+    """The columns of op4 that SQL can express: all but the words that are drawn."""
+    return query(spark, sf_dir).select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+TARGETS = r"""
+with recursive d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size from documents),
+s as (select source, cast(sum(size) as bigint) source_size, row_number() over (order by source nulls last) - 1 ord from d group by source),
+w as (select *, cast([5, 2, 1][1 + ord % 3] as double) weight, 3.0 * source_size cap from s),
+f as (select 0 round, (select sum(source_size) from w) / (select sum(weight) from w) level
+      union all
+      select round + 1, (select (any_value(t.total) - coalesce(sum(cap) filter (cap < f.level * weight), 0)) / sum(weight) filter (cap >= f.level * weight) from w, (select sum(source_size) total from w) t)
+      from f where round < 200 and exists (select 1 from w where cap < f.level * weight)),
+l as (select max(level) level from f)
+select doc_id, d.source, size, source_size, round(least(cap, level * weight), 6) target from d join w on d.source is not distinct from w.source cross join l
+"""

@@ -18,8 +18,12 @@ def queries():
         "op9_topk": topk.query,
         "op10_langid": langid.query,
         "pipeline": corpus_pipeline.run,
+        # what SQL can express of queries that it can't express whole
+        "mix_targets": mixing.targets_query,
+        "shard_loads": shards.loads_query,
+        "secret_counts": secrets.base_query,
     }
 
 
 def oracle_sql():
-    return {"op3_warc": warc.ORACLE, "op9_topk": topk.ORACLE}
+    return {"op1_suffix_dedup": suffixes.ORACLE, "op3_warc": warc.ORACLE, "op8_jaccard_join": jaccard.ORACLE, "op9_topk": topk.ORACLE, "mix_targets": mixing.TARGETS, "shard_loads": shards.LOADS, "secret_counts": secrets.BASE}

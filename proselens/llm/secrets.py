@@ -298,3 +298,14 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir):
     return scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def base_query(spark, sf_dir):
+    """The counts of op7, which SQL can express."""
+    return query(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+BASE = r"""
+select doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12)) n_assign,
+    len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16)) n_hex from documents
+"""

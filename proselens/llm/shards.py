@@ -131,3 +131,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def query(spark, sf_dir):
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def loads_query(spark, sf_dir):
+    """What SQL can express of op6: rows, slots and sizes of the shards, without who goes where."""
+    d = query(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last"), F.sum("size").alias("size"))
+    return d.select(F.col("shard").cast("long").alias("shard"), "rows", (F.col("slots") == F.col("last") + 1).alias("gapless"), F.sum("size").over(Window.partitionBy(F.lit(1))).alias("all_sizes"))
+
+
+LOADS = """
+with d as (select count(*) n, sum(octet_length(encode(coalesce(text, ''))) + 8) size from documents)
+select i shard, n // 24 + case when i < n % 24 then 1 else 0 end "rows", true gapless, cast(size as bigint) all_sizes from d, range(24) t(i)
+"""

@@ -500,3 +500,18 @@ def removed(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 def query(spark, sf_dir):
     return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+with t as (select doc_id, hex(encode(coalesce(text, ''))) h, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+bw as (select doc_id, i, md5(substr(h, cast(2 * i + 1 as bigint), 800)) k from (select doc_id, h, unnest(range(len(h) // 2 - 399)) i from t where len(h) >= 800)),
+bs as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 400 then 1 else 0 end cut from (select *, count(*) over (partition by k) c from bw) where c > 1),
+sp as (select doc_id, min(i) s, max(i) + 400 e from (select doc_id, i, sum(cut) over (partition by doc_id order by i) g from bs) group by doc_id, g),
+gap as (select doc_id, s, coalesce(lag(e) over (partition by doc_id order by s), 0) before, e from sp),
+cut as (select doc_id, sum(e - s) n_removed, count(*) n_spans, string_agg(substr(h, cast(2 * before + 1 as bigint), cast(2 * (s - before) as bigint)), '' order by s) || substr(any_value(h), cast(2 * max(e) + 1 as bigint)) kept from gap join t using (doc_id) group by doc_id),
+ww as (select doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) k from (select doc_id, ws, unnest(range(len(ws) - 49)) i from t where len(ws) >= 50)),
+wi as (select doc_id, i, lead(i) over (partition by doc_id order by i) following from (select *, count(*) over (partition by k) c from ww) where c > 1),
+wr as (select doc_id, sum(least(50, coalesce(following - i, 50))) n from wi group by doc_id)
+select doc_id, cast(len(h) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans, sha256(unhex(coalesce(kept, h))) kept_sha256, cast(coalesce(n, 0) as bigint) n_repeated_words
+from t left join cut using (doc_id) left join wr using (doc_id)
+"""
