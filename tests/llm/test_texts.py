@@ -242,3 +242,12 @@ def test_scores_do_not_depend_on_shards(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(decontam, "SHARD_ITEMS", 3)
     assert rows() == whole and len(whole) >= 6
+
+
+def test_rows_that_differ_only_in_where_a_null_stands_stay(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, "en", None, 5), (1, None, None, "en", 5), (1, None, "en", "", 5), (1, None, "en", None, 5), (2, "", None, None, None), (2, None, None, None, None)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(set(map(repr, rows)))
+    texts = [(k, "w " * 20, "en" if k % 2 else None, None, 3) for k in range(4)]
+    assert [r["doc_id"] for r in jaccard.one_of_each(spark.createDataFrame(texts, schema)).collect()] == [0]
