@@ -200,7 +200,8 @@ def slices(batches, limit: int = 1 << 19, column: str = "text"):
 
 
 def trim() -> None:
-    """Give back to the system what this worker has freed; idle workers would keep it from others."""
+    """Give back to the system what this worker has freed; idle workers would keep it from others. Tables of powers, as long as the longest text, go too."""
+    _POWERS.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

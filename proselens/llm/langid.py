@@ -6,7 +6,7 @@ A text gets the language whose prototype, less the mean of all prototypes' direc
 
 Bundling is linear, so a batch of texts is one product of n-gram counts and n-gram vectors. Training sums one
 vector for each language and task: what is gathered is (languages x DIM) numbers, whatever the number of documents.
-Letters are folded into ALPHABET classes (rare letters share classes), so n-gram vectors can be kept between batches.
+Letters are folded into ALPHABET classes (rare letters share classes), so the vectors of pairs can be kept between batches, and an n-gram's needs one more product.
 """
 
 from __future__ import annotations
@@ -52,20 +52,31 @@ def classes() -> np.ndarray:
     return _CLASSES[0]
 
 
-_VECTORS: dict[tuple, np.ndarray] = {}
+_BOUND: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def vectors(dim: int = DIM) -> np.ndarray:
-    """All n-grams' vectors, (LETTERS**N, dim) of +1 and -1 in int8."""
-    if dim not in _VECTORS:
+def _bound(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of all pairs of letters at an n-gram's first two places, bound, and of the letters at its last: 2 MB, where those of all n-grams would be 134."""
+    if dim not in _BOUND:
         bits = mix(np.arange(LETTERS * dim, dtype=np.uint64) + np.uint64(12345)) & np.uint64(1)
         letter = (bits.astype(np.int8) * 2 - 1).reshape(LETTERS, dim)
         out = np.ones((1, dim), np.int8)
-        for place in range(N):
+        for place in range(N - 1):
             rolled = np.roll(letter, N - 1 - place, axis=1)
             out = (out[:, None, :] * rolled[None, :, :]).reshape(-1, dim)
-        _VECTORS[dim] = out
-    return _VECTORS[dim]
+        _BOUND[dim] = out, letter
+    return _BOUND[dim]
+
+
+def vectors_of(gram: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """The n-grams' vectors, (len(gram), dim) of +1 and -1 in int8."""
+    front, last = _bound(dim)
+    return front[gram // LETTERS] * last[gram % LETTERS]
+
+
+def vectors(dim: int = DIM) -> np.ndarray:
+    """All n-grams' vectors, (LETTERS**N, dim)."""
+    return vectors_of(np.arange(LETTERS**N), dim)
 
 
 def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +106,6 @@ def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def bundles(row: np.ndarray, gram: np.ndarray, rows: int, dim: int = DIM) -> np.ndarray:
     """The texts' vectors (rows, dim): counts of n-grams times their vectors, over blocks of rows."""
     out = np.zeros((rows, dim), np.float32)
-    v = vectors(dim)
     step = 64
     edges = np.searchsorted(row, np.arange(0, rows + step, step))
     for b in range(len(edges) - 1):
@@ -106,7 +116,7 @@ def bundles(row: np.ndarray, gram: np.ndarray, rows: int, dim: int = DIM) -> np.
         n = min(step, rows - b * step)
         counts = np.bincount((row[lo:hi] - b * step) * len(uniq) + inv, minlength=n * len(uniq)).reshape(n, -1).astype(np.float32)
         for a in range(0, len(uniq), 4096):
-            out[b * step : b * step + n] += counts[:, a : a + 4096] @ v[uniq[a : a + 4096]].astype(np.float32)
+            out[b * step : b * step + n] += counts[:, a : a + 4096] @ vectors_of(uniq[a : a + 4096], dim).astype(np.float32)
     return out
 
 
@@ -130,7 +140,7 @@ def train(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
                 u, w = uniq[at] % LETTERS**N, n[at]
                 acc = total.setdefault(name, np.zeros(dim, np.int64))
                 for a in range(0, len(u), 4096):
-                    acc += np.rint(w[a : a + 4096].astype(np.float64) @ vectors(dim)[u[a : a + 4096]]).astype(np.int64)
+                    acc += np.rint(w[a : a + 4096].astype(np.float64) @ vectors_of(u[a : a + 4096], dim)).astype(np.int64)
         if total:
             yield pa.RecordBatch.from_pylist([{"lang": k, "part": v.tobytes()} for k, v in total.items()], pa.schema([("lang", pa.string()), ("part", pa.binary())]))
 
