@@ -2,8 +2,8 @@
 
 Tokens are characters folded into CLASSES classes. A window network - embeddings of the SIDE tokens on either side, one hidden layer, a
 softmax over classes - predicts every token from both sides. It is trained in numpy, by rounds: each task takes Adam steps on the
-contexts that it holds, and the driver averages the parameters by weight. What it learns from are the counts of all contexts of all documents, whose
-number grows with the corpus; a round passes over each of them with its count as weight, so over every token. A document's score is the sum over its tokens of the log-probability given both sides.
+contexts that it holds, and the driver averages the parameters by weight. What it learns from are the counts of all contexts of all documents: the
+rounds together pass over every token at least once, so that steps grow with the tokens; few tokens are passed over several times. A document's score is the sum over its tokens of the log-probability given both sides.
 
 Scores are looked up: a batch's distinct contexts go through the network once.
 """
@@ -22,16 +22,15 @@ from .common import mix, partitions, pick, slices, written
 
 CLASSES = 64
 BITS = 6
-SIDE = 3
+SIDE = 2
 EMBED, HIDDEN = 12, 48
-ROUNDS = 3
+ROUNDS = 4
 STEP_ROWS = 1024
-LEAST_STEPS = 100     # of a round; contexts that are fewer are passed over several times
-HEAVY = 4             # mean counts that one row of a step stands for at most
+LEAST_STEPS = 200     # of a round; fewer tokens are passed over several times
 RATE = 0.01
 PIECE = 1 << 22
 BUCKET_TOKENS = 8 << 20  # tokens for each bucket of contexts
-MOST_BUCKETS = 100_000
+LEAST_BUCKETS, MOST_BUCKETS = 8, 100_000  # few tokens are trained on in parallel as well
 
 FIXED = {"\n": 1, " ": 2, ".": 3, ",": 4, "'": 5, '"': 6, "-": 7, ":": 8, ";": 9, "!": 10, "?": 11, "(": 12, ")": 13}
 DIGIT, OTHER, LATIN, FURTHER = 14, 15, 16, 42  # a-z: 16 to 41; further letters share the rest
@@ -117,38 +116,37 @@ def gradients(p, around, at, share=None):
     return [emb, e.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
 
 
-def weighted(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, weight) of the rows of a pass: each context once, or in equal parts if its count is more than HEAVY times the mean; weights add up to the counts."""
-    parts = np.maximum(1, -(-count // max(1, int(HEAVY * count.mean())))) if len(count) else count
-    at = np.repeat(np.arange(len(count)), parts)
-    return at, (count / parts)[at]
+def n_steps(tokens: int, rounds: int) -> int:
+    """Steps of a round, such that all rounds pass over all tokens."""
+    return max(LEAST_STEPS, -(-tokens // (STEP_ROWS * rounds)))
 
 
-def passes(rows: int) -> int:
-    """How often a round passes over so many rows: once, unless they make fewer than LEAST_STEPS steps."""
-    return max(1, -(-LEAST_STEPS * STEP_ROWS // max(1, rows)))
+def passed(count, seed, k, rounds):
+    """For each step of round k: (contexts, how often each), STEP_ROWS tokens in all.
 
-
-def taken(count: np.ndarray, seed):
-    """For each step of a round: (contexts, their weights), every row in passes() of the steps."""
-    at, weight = weighted(count)
-    rng = np.random.default_rng(seed)
-    line = np.concatenate([rng.permutation(len(at)) for _ in range(passes(len(at)))])
-    for x in range(0, len(line), STEP_ROWS):
-        row = line[x : x + STEP_ROWS]
-        yield at[row], weight[row]
+    The tokens are a line, on which each context takes its count. A grid of at least as many points lies evenly over it; every point
+    belongs to one step of one round, and the points of a step are evenly spread."""
+    total = np.cumsum(count)
+    tokens, n = int(total[-1]), n_steps(int(total[-1]), rounds)
+    points = n * STEP_ROWS * rounds
+    row = np.arange(STEP_ROWS, dtype=np.int64) * n
+    for t in np.random.default_rng(seed).permutation(n):
+        point = (row + t) * rounds + k
+        token = point * tokens // points if tokens < 1 << 31 else (point.astype(object) * tokens // points).astype(np.int64)
+        drawn = np.searchsorted(total, token, "right")
+        first = np.flatnonzero(np.r_[True, drawn[1:] != drawn[:-1]])
+        yield drawn[first], np.diff(np.r_[first, STEP_ROWS])
 
 
-def steps(p, key, count, seed, rate):
-    """Adam steps of a round over all contexts; the more contexts, the more steps."""
+def steps(p, key, count, seed, rate, k=0, rounds=1):
+    """Adam steps of round k over its tokens; the more tokens, the more steps."""
     kind = p[0].dtype
     p = [x.astype(np.float32) for x in p]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+    n = n_steps(int(count.sum()), rounds)
     around, at = unpack(key)
-    rows = len(weighted(count)[0])
-    n, mean = -(-rows * passes(rows) // STEP_ROWS), count.sum() / max(1, rows)
-    for t, (drawn, weight) in enumerate(taken(count, seed), 1):
-        g = gradients(p, around[drawn], at[drawn], (weight / (mean * len(drawn))).astype(np.float32))
+    for t, (drawn, times) in enumerate(passed(count, seed, k, rounds), 1):
+        g = gradients(p, around[drawn], at[drawn], (times / STEP_ROWS).astype(np.float32))
         r = np.float32(rate * (1 - t / (n + 1)) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t))
         for i in range(len(p)):
             m[i] += np.float32(0.1) * (g[i] - m[i])
@@ -214,7 +212,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> list[np.ndarray]:
     draws are seeded by bucket and round, averages taken in order of bucket."""
     spark = docs.sparkSession
     tokens = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, 1 + tokens // BUCKET_TOKENS)
+    buckets = min(MOST_BUCKETS, LEAST_BUCKETS + tokens // BUCKET_TOKENS)
     table = written(counts(docs, buckets), "contexts")
     p = initial()
     shapes = [x.shape for x in p]
@@ -225,7 +223,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> list[np.ndarray]:
             for pdf in frames:
                 for b, keys, times in zip(pdf["bucket"], pdf["keys"], pdf["times"]):
                     key, n = unpacked_keys(keys), np.frombuffer(times, np.int64)
-                    q = steps(sent.value, key, n, [int(b), k], RATE / (1 + k))
+                    q = steps(sent.value, key, n, [int(b), k], RATE / (1 + k), k, rounds)
                     yield pd.DataFrame({"bucket": [b], "weight": [float(n.sum())], "p": [np.concatenate([x.ravel() for x in q]).tobytes()]})
 
         # averages of averages: a fixed number of parts reach the driver
