@@ -13,9 +13,15 @@ FENCED = r"(?s)```.*?```"
 INLINE = r"`[^`\n]*`"
 
 
-def strip_html(text: Column) -> Column:
-    """Visible text: script and style blocks and tags become blanks of the same height, entities are decoded."""
-    return decode_entities(masked(masked(text, HTML_BLOCKS), HTML_TAGS))
+def strip_html(text: Column, entities: dict[str, str] | None = None) -> Column:
+    """Visible text: script and style blocks and tags become blanks of the same height, entities are decoded: all of HTML, without a
+    semicolon too, or those given only, as reference and character, one after the other."""
+    bare = masked(masked(text, HTML_BLOCKS), HTML_TAGS)
+    if entities is None:
+        return decode_entities(bare)
+    for reference, character in entities.items():
+        bare = F.replace(bare, F.lit(reference), F.lit(character))
+    return bare
 
 
 def visible(text: Column, path: Column | None = None, as_html=False) -> Column:

@@ -43,3 +43,14 @@ def test_query(spark, duck, name):
     assert sorted(a.columns) == sorted(b.columns)
     assert rows(a) == rows(b)
     assert len(a) or name in EMPTY
+
+
+def test_html_visible_text_on_odd_pages(spark, tmp_path):
+    pages = [None, "", "<title>a&amp;&amp</title>b&quot", "&am &copy &AMP; &lt;p&gt; &#39; &nbsp;", "&amp;lt; &amp;amp; &amp;quot; &&quot;amp; &a<b>mp;", "<SCRIPT>a\nb</script >c</Script>d<ſtyle>e</STYLE>f",
+             "<script>a</style>b<style>c</script></style>d", "<script", "<a\r\nb>\u2028<>é\U0001f600<i title='>'>\t&middot;", "<style>\U0001f600\n</style>&copy;&middot;&copy;"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = rows(QUERIES["html_visible_text"](spark, str(tmp_path)).toPandas())
+    assert got == rows(c.sql(ORACLES["html_visible_text"]).df())
+    assert dict(got)[2].split() == ["a&&amp", "b&quot"]
