@@ -92,28 +92,56 @@ def initial(seed: int = 1) -> list[np.ndarray]:
     return [rng.normal(0, 0.3, (CLASSES, EMBED)), rng.normal(0, wide**-0.5, (wide, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, CLASSES)), np.zeros(CLASSES)]
 
 
+def hidden(p, around):
+    e = p[0].take(around, 0).reshape(len(around), -1)
+    h = e @ p[1]
+    h += p[2]
+    return e, np.tanh(h, out=h)
+
+
 def forward(p, around):
-    e = p[0][around].reshape(len(around), -1)
-    h = np.tanh(e @ p[1] + p[2])
+    e, h = hidden(p, around)
     z = h @ p[3] + p[4]
     z -= z.max(1, keepdims=True)
     return e, h, z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def gradients(p, around, at, share=None):
-    """Of the mean loss; with share, of the sum of losses weighted by it."""
-    e, h, lp = forward(p, around)
-    d = np.exp(lp)
-    d[np.arange(len(at)), at] -= 1
-    d *= 1 / len(at) if share is None else share[:, None]
-    dh = (d @ p[3].T) * (1 - h * h)
+def gradients(p, around, at, share=None, row=None):
+    """Of the mean loss; with share, of the sum of losses weighted by it. With row, token k stands between the classes around[row[k]], so that
+    tokens between the same neighbours go through the network as one row; then no pair of row and class may occur twice."""
+    kind = p[0].dtype
+    if share is None:
+        share = np.full(len(at), 1 / len(at), kind)
+    if row is None:
+        row = np.arange(len(at))
+    e, h = hidden(p, around)
+    d = h @ p[3]
+    d += p[4]
+    if max(d.max(), -d.min()) > 80:  # else no exponential leaves the range of its type
+        d -= d.max(1, keepdims=True)
+    np.exp(d, out=d)
+    d *= (np.bincount(row, share, len(around)).astype(kind) / (d @ np.ones(CLASSES, kind)))[:, None]
+    d.reshape(-1)[row * CLASSES + at] -= share
+    dh = d @ p[3].T
+    dv, rows = h.T @ d, np.ones(len(around), kind)
+    h *= h
+    np.subtract(1, h, out=h)
+    dh *= h
     de = (dh @ p[1].T).reshape(-1, EMBED)
-    flat = around.reshape(-1)
+    flat = around.astype(np.uint8).reshape(-1)  # bytes sort by radix
     order = np.argsort(flat, kind="stable")
-    first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-    emb = np.zeros((CLASSES, EMBED), de.dtype)
-    emb[flat[order][first]] = np.add.reduceat(de[order], first, axis=0)
-    return [emb, e.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
+    flat = flat[order]
+    first = changes(flat).nonzero()[0]
+    emb = np.zeros((CLASSES, EMBED), kind)
+    emb[flat[first]] = np.add.reduceat(de.take(order, 0), first, axis=0)
+    return [emb, e.T @ dh, rows @ dh, dv, rows @ d]
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Whether an entry begins a run of equal entries."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
 
 
 def n_steps(tokens: int, rounds: int) -> int:
@@ -129,38 +157,58 @@ def passed(count, seed, k, rounds):
     total = np.cumsum(count)
     tokens, n = int(total[-1]), n_steps(int(total[-1]), rounds)
     points = n * STEP_ROWS * rounds
-    row = np.arange(STEP_ROWS, dtype=np.int64) * n
+    row = np.arange(STEP_ROWS, dtype=np.int64) * (n * rounds)
     for t in np.random.default_rng(seed).permutation(n):
-        point = (row + t) * rounds + k
+        point = row + (t * rounds + k)
         token = point * tokens // points if tokens < 1 << 31 else (point.astype(object) * tokens // points).astype(np.int64)
         drawn = np.searchsorted(total, token, "right")
-        first = np.flatnonzero(np.r_[True, drawn[1:] != drawn[:-1]])
-        yield drawn[first], np.diff(np.r_[first, STEP_ROWS])
+        first = changes(drawn).nonzero()[0]
+        yield drawn.take(first), np.diff(first, append=STEP_ROWS)
 
 
 def steps(p, key, count, seed, rate, k=0, rounds=1):
     """Adam steps of round k over its tokens; the more tokens, the more steps."""
-    kind = p[0].dtype
-    p = [x.astype(np.float32) for x in p]
-    m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+    shapes, kind = [x.shape for x in p], p[0].dtype
+    line = np.concatenate([x.ravel() for x in p]).astype(np.float32)  # all parameters, of which p are views
+    p = parted(line, shapes)
+    m, v, work = np.zeros_like(line), np.zeros_like(line), np.empty_like(line)
     n = n_steps(int(count.sum()), rounds)
     around, at = unpack(key)
+    new = changes(key >> BITS)
+    around, between = around[new], np.cumsum(new) - 1
     for t, (drawn, times) in enumerate(passed(count, seed, k, rounds), 1):
-        g = gradients(p, around[drawn], at[drawn], (times / STEP_ROWS).astype(np.float32))
+        near = between.take(drawn)
+        new = changes(near)
+        g = np.concatenate([x.ravel() for x in gradients(p, around.take(near[new], 0), at.take(drawn), (times / STEP_ROWS).astype(np.float32), np.cumsum(new) - 1)])
         r = np.float32(rate * (1 - t / (n + 1)) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t))
-        for i in range(len(p)):
-            m[i] += np.float32(0.1) * (g[i] - m[i])
-            v[i] += np.float32(0.001) * (g[i] * g[i] - v[i])
-            p[i] -= r * m[i] / (np.sqrt(v[i]) + np.float32(1e-8))
+        np.subtract(g, m, out=work)
+        work *= np.float32(0.1)
+        m += work
+        g *= g
+        g -= v
+        g *= np.float32(0.001)
+        v += g
+        np.sqrt(v, out=work)
+        work += np.float32(1e-8)
+        np.divide(m, work, out=work)
+        work *= r
+        line -= work
     return [x.astype(kind) for x in p]
 
 
+def parted(line: np.ndarray, shapes) -> list[np.ndarray]:
+    """Views of line in these shapes, one after the other."""
+    cut = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
+    return [line[a:b].reshape(s) for a, b, s in zip(cut, cut[1:], shapes)]
+
+
 # ---------------------------------------------------------------- training
 
 def counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed counts of all contexts of all documents: bucket, keys (packed_keys), times (int64). Counted within tasks, then by bucket of the context's hash."""
+    """Packed counts of all contexts of all documents: bucket, keys (packed_keys), times (int64). Counted within tasks, then by bucket, which is a hash of the classes around:
+    tokens between the same neighbours are in one bucket, which so sees each of their classes in its share, and takes them through the network as one row."""
     def packed(key, n):
-        b = ((mix(key) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        b = ((mix(key >> BITS) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         order = np.argsort(b, kind="stable")
         key, n, b = key[order], n[order], b[order]
         cut = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
@@ -236,10 +284,7 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> list[np.ndarray]:
         parts = sorted(local.withColumn("part", F.col("bucket") % 16).groupBy("part").applyInPandas(mean, "part int, weight double, p binary").collect(), key=lambda r: r["part"])
         if parts:
             flat = np.average([np.frombuffer(r["p"]) for r in parts], axis=0, weights=[r["weight"] for r in parts])
-            p, at = [], 0
-            for s in shapes:
-                p.append(flat[at : at + int(np.prod(s))].reshape(s))
-                at += int(np.prod(s))
+            p = parted(flat, shapes)
     return p
 
 
@@ -261,9 +306,12 @@ def scored(docs: DataFrame, p: list[np.ndarray]) -> DataFrame:
     def run(batches):
         for batch in slices(batches, PIECE):
             row, key, n = contexts(batch)
-            order = np.argsort(key)
-            key = key[order]
-            new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+            bits = len(key).bit_length()
+            key = key << bits | np.arange(len(key))  # contexts take 30 bits; sorting these is several times as fast as argsort
+            key.sort()
+            order = key & ((1 << bits) - 1)
+            key >>= bits
+            new = changes(key)
             lp = log_probabilities(sent.value, key[new])[np.cumsum(new) - 1]
             size = np.bincount(row, minlength=n)
             line = np.empty(len(lp))

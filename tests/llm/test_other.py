@@ -334,6 +334,38 @@ def test_gradients():
         assert math.isclose((up - down) / 2e-5, g[k][at_], rel_tol=1e-3, abs_tol=1e-7)
 
 
+@pytest.mark.parametrize("scale", [1, 60])
+def test_gradients_of_tokens_between_the_same_neighbours(scale):
+    """One row of the network for all of them gives what a row for each gives, with logits beyond the range of exponentials too."""
+    rng = np.random.default_rng(4)
+    p = [x * scale for x in lm.initial()]
+    key = np.unique(rng.integers(0, 3, (300, 5)) @ (1 << lm.BITS * np.arange(4, -1, -1)))
+    around, at = lm.unpack(key)
+    share = rng.random(len(key))
+    new = lm.changes(key >> lm.BITS)
+    got = lm.gradients(p, around[new], at, share, np.cumsum(new) - 1)
+    assert new.sum() < len(key)
+    for k in range(5):
+        want = sum(w * lm.gradients(p, around[i : i + 1], at[i : i + 1])[k] for i, w in enumerate(share))
+        assert np.isfinite(want).all() and np.allclose(got[k], want, rtol=1e-8, atol=1e-10)
+
+
+def test_buckets_hold_all_tokens_between_the_same_neighbours(spark):
+    rng = random.Random(6)
+    texts = [speech(rng, "en", 60) for _ in range(40)]
+    want, where = Counter(), {}
+    for t in texts:
+        c = [0, 0, *(int(lm.classes()[ord(x)]) for x in t), 0, 0]
+        want.update((c[k - 2], c[k - 1], c[k + 1], c[k + 2], c[k]) for k in range(2, len(c) - 2))
+    got = Counter()
+    for r in lm.counts(documents(spark, list(enumerate(texts))).repartition(3).select("text"), 8).collect():
+        key = lm.unpacked_keys(r["keys"])
+        for near, at, n in zip(*lm.unpack(key), np.frombuffer(r["times"], np.int64)):
+            got[(*near.tolist(), int(at))] += int(n)
+            assert where.setdefault(tuple(near.tolist()), r["bucket"]) == r["bucket"]
+    assert got == want and len(set(where.values())) == 8
+
+
 @pytest.mark.parametrize("counts", [[3, 1, 400_000, 7, 1, 900_000, 1], [5, 1, 2], list(range(1, 2000))])
 def test_training_passes_over_every_token(counts):
     """Each token is taken as often as any other, but for one, and at least once; so steps grow with the tokens."""
